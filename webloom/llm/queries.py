@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.cooccurrence import cooccurrences
+from webloom.llm.leakage import leaks
+from webloom.llm.sentences import sentences
 from webloom.llm.tokenize import token_ids
 from webloom.session import table
 
@@ -27,8 +29,16 @@ def _p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text").distinct()
+
+
+def _p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": _p3_found, "p3_pairs": _p3_pairs, "p7_ids": _p7_ids}
+    return {"p3_found": _p3_found, "p3_pairs": _p3_pairs, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
