@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.cooccurrence import cooccurrences
 from webloom.llm.leakage import leaks
+from webloom.llm.mainbody import furniture_lines
 from webloom.llm.sentences import sentences
 from webloom.llm.tokenize import token_ids
 from webloom.session import table
@@ -16,6 +17,10 @@ from webloom.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return furniture_lines(table(spark, d, "pages"), "id", "text", "title")
+
+
 def _p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrences(table(spark, d, "pages"), "links_json")
 
@@ -38,7 +43,7 @@ def _p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": _p3_found, "p3_pairs": _p3_pairs, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
+    return {"p1_found": _p1_found, "p3_found": _p3_found, "p3_pairs": _p3_pairs, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
