@@ -81,7 +81,6 @@ SCRIPT_NOTICES = [
 SEPARATOR = r"(?: ?[|·/»>•] ?|\s+)"
 MENU = "|".join(sorted(MENU.split("|"), key=len, reverse=True))
 LEFT, RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-HAN_LEFT = r"(?<![\p{L}\p{N}--\p{Han}])"
 PATTERNS = [regex.compile(f"{LEFT}(?:{p}){RIGHT}", regex.I) for p in PHRASES + SCRIPT_NOTICES]
 MENU_LINE = regex.compile(rf"(?:{MENU})(?:{SEPARATOR}(?:{MENU}))*")
 MENU_RUN = regex.compile(rf"{LEFT}(?:{MENU})(?:{SEPARATOR}(?:{MENU})){{2,}}{RIGHT}")

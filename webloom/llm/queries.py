@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from webloom.llm.cooccurrence import cooccurrences
 from webloom.llm.leakage import leaks
 from webloom.llm.mainbody import furniture_lines
+from webloom.llm.quality import FIGURES, scored, statistics, tails
+from webloom.llm.residue import residue
 from webloom.llm.sentences import sentences
 from webloom.llm.tokenize import token_ids
-from webloom.session import table
+from webloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,19 @@ def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     return furniture_lines(table(spark, d, "pages"), "id", "text", "title")
 
 
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "pages"), "id", "text", "title").select("id")
+
+
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return tails(table(spark, d, "pages"), "id", "text", "title", "text_length", "links_count")
+
+
+def _p4_figures(spark: SparkSession, d: str) -> DataFrame:
+    figured = checkpoint(statistics(table(spark, d, "pages"), "id", "text", "title", "text_length", "links_count"))
+    return scored(figured).select("id", "lang", "kind", "residue", *(f"{f}{x}" for f in FIGURES for x in ("", "_z", "_pct")))
+
+
 def _p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrences(table(spark, d, "pages"), "links_json")
 
@@ -43,7 +58,7 @@ def _p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": _p1_found, "p3_found": _p3_found, "p3_pairs": _p3_pairs, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
+    return {"p1_found": _p1_found, "p2_found": _p2_found, "p3_found": _p3_found, "p3_pairs": _p3_pairs, "p4_figures": _p4_figures, "p4_found": _p4_found, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

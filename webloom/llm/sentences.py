@@ -37,9 +37,9 @@ TITLES = frozenset("《〈")
 CLOSERS = frozenset(")]}）］】”»›’」』》〉\"'")
 ENDS = ".!?…。！？｡।॥؟۔܀።᙮;;"
 HARD = frozenset("。！？｡।॥؟۔።᙮‼⁇⁈⁉")
-PARAGRAPH = regex.compile(r"\s*?(?: |(?:\r\n|[\n\r \x85\v\f])[^\S\n\r  \x85\v\f]*(?:\r\n|[\n\r  \x85\v\f]))\s*")
+PARAGRAPH = regex.compile(r"\s*?(?:\u2029|(?:\r\n|[\n\r\u2028\x85\v\f])[^\S\n\r\u2028\u2029\x85\v\f]*(?:\r\n|[\n\r\u2028\u2029\x85\v\f]))\s*")
 MARK = regex.compile(r"[.!?…]+(?:[^\S\r\n]?…)?|[。！？｡।॥؟۔።᙮‼⁇⁈⁉]+|[;;]|[(\[{（［【“„«»‹›‘’‚「『《〈\")\]}）］】”」』》〉]|(?<=[\p{Thai}])\s+(?=[\p{Thai}\p{Lu}\p{Ps}\p{Pi}])")
-WORD = regex.compile(r"[\p{L}\p{M}­​]+(?:(?:\.-|[.-])[\p{L}\p{M}­​]+)*\.?$")
+WORD = regex.compile(r"[\p{L}\p{M}\u00ad\u200b]+(?:(?:\.-|[.-])[\p{L}\p{M}\u00ad\u200b]+)*\.?$")
 HOST = regex.compile(r"(?:https?://|www\.)?[\w-]+(?:\.[\w-]+)+(?:/|\b)|[\w.+-]+@[\w-]+\.")
 LIST_MARK = regex.compile(r"\s*(?:\d{1,3}|\p{L}|[ivxIVX]{1,4})$")
 INITIALS = regex.compile(r"(?:\p{Lu}\.\s*)*\p{Lu}")
@@ -118,7 +118,7 @@ def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: i
         return False
     lower, upper, digit = c.islower(), c.isupper(), c.isdigit()
     match = WORD.search(text, max(start, at - 24), at)
-    raw = match[0].replace("­", "").replace("​", "") if match else ""
+    raw = match[0].replace("\u00ad", "").replace("\u200b", "") if match else ""
     raw = unicodedata.normalize("NFC", raw)
     word = raw.lower()
     if len(word) == 1 and at - 3 >= start and text[at - 2].isspace() and text[at - 3] == ".":  # spaced: z. B., т. д.
@@ -188,7 +188,7 @@ def _paragraph(doc: _Document, begin: int, stop: int, out: list[tuple[int, int]]
     first = start = begin
     #: open quotations and brackets: mark, place, whether at the sentence's start, place of the last mark inside
     opened: list[list] = []
-    hidden = "​­‌‍﻿⁠"
+    hidden = "\u200b\u00ad\u200c\u200d\ufeff\u2060"
 
     def skip(i: int) -> int:
         while i < stop and (text[i].isspace() or text[i] in hidden):
@@ -221,7 +221,7 @@ def _paragraph(doc: _Document, begin: int, stop: int, out: list[tuple[int, int]]
             if opened:
                 opened[-1][3] = end if inner >= 0 and not text[inner:at].strip() else opened[-1][3]
                 continue
-            if inner < 0 or text[inner:at].strip(hidden + " \xa0 \n\r\t"):
+            if inner < 0 or text[inner:at].strip(hidden + " \xa0\u202f\n\r\t"):
                 continue
             while end < stop and (text[end] in CLOSERS or text[end] in hidden) and text[end] not in "\"'":
                 end += 1
