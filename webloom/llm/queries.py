@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webloom.llm.cooccurrence import cooccurrences
 from webloom.llm.leakage import leaks
 from webloom.llm.mainbody import furniture_lines
+from webloom.llm.neardup import near_duplicates
 from webloom.llm.quality import FIGURES, scored, statistics, tails
 from webloom.llm.residue import residue
 from webloom.llm.sentences import sentences
@@ -45,6 +46,10 @@ def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _p3_pairs(spark, d).where(lifted).select(F.col("item_a").alias("link_a"), F.col("item_b").alias("link_b"))
 
 
+def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(table(spark, d, "pages"), "id", "text", "title")
+
+
 def _p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -58,7 +63,7 @@ def _p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": _p1_found, "p2_found": _p2_found, "p3_found": _p3_found, "p3_pairs": _p3_pairs, "p4_figures": _p4_figures, "p4_found": _p4_found, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
+    return {"p1_found": _p1_found, "p2_found": _p2_found, "p3_found": _p3_found, "p3_pairs": _p3_pairs, "p4_figures": _p4_figures, "p4_found": _p4_found, "p5_found": _p5_found, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
