@@ -229,3 +229,40 @@ def test_books(spark):
 def test_sitemap():
     assert sitemap.parse_sitemap("<urlset><url>") == (None, []) and sitemap.parse_sitemap(None) == (None, [])
     assert sitemap.discover("https://s.test/a/b") == ["https://s.test/sitemap.xml", "https://s.test/sitemap_index.xml"]
+
+
+def test_report(spark, tmp_path):
+    from webloom.operators.report import html_report, stats_json
+
+    pages = spark.createDataFrame([(1, 'https://e.test/"><script>', "<b>T</b>", 3, 12345), (2, "u", None, None, None)], "id int, url string, title string, links_count int, text_length int")
+    html_report(str(tmp_path / "r.html"), {"total": 2}, {"Status": {200: 1}}, pages, 1)
+    text = (tmp_path / "r.html").read_text()
+    assert "<script>" not in text and "<b>T" not in text and "12,345" in text and text.count("<tr>") == 6
+    stats_json(str(tmp_path / "s.json"), {"é": 1, 200: {"a": None}})
+    assert json.loads((tmp_path / "s.json").read_text()) == {"é": 1, "200": {"a": None}}
+
+
+def test_crawl_with_sitemaps(spark):
+    from webloom.plans.crawl import crawl_with_sitemaps
+
+    corpus = fixtures.site(spark).unionByName(spark.createDataFrame([("https://alpha.test/sitemap.xml", 200, "<urlset><url><loc>https://new.test/p</loc></url></urlset>", None, None, 0.1), ("https://new.test/p", 200, "<title>P</title>", None, None, 0.1)], fixtures.site(spark).schema))
+    got = {r["url"]: (r["depth"], r["ok"]) for r in crawl_with_sitemaps(spark, ["https://alpha.test/"], corpus, max_pages=3, max_depth=1).collect()}
+    assert got == {"https://alpha.test/": (0, True), "https://new.test/p": (0, True), "https://alpha.test/a": (1, True)}
+
+
+def test_scrape(spark):
+    corpus = spark.createDataFrame([("https://b.test/catalogue/page-1.html", fixtures.LISTING), ("https://b.test/b1_1/index.html", fixtures.BOOK)], "url string, content string")
+    found, failed = books.scrape(corpus, "https://b.test/catalogue/page-1.html", 10)
+    assert [r["upc"] for r in found.collect()] == ["a897"] and [r["url"] for r in failed.collect()] == ["https://b.test/catalogue/b2_2/index.html"]
+
+
+def test_cli(spark, tmp_path, capsys):
+    from webloom.__main__ import main
+
+    fixtures.site(spark).write.parquet(str(tmp_path / "corpus"))
+    main(["crawl", "https://alpha.test/", "--corpus", str(tmp_path / "corpus"), "--max-depth", "1", "--output", str(tmp_path / "out")])
+    main(["query", str(tmp_path / "out"), "SELECT count(*) AS n FROM pages"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"n": 3}
+    (tmp_path / "c.json").write_text('{"odd": 1}')
+    with pytest.raises(SystemExit):
+        main(["crawl", "--config", str(tmp_path / "c.json")])

@@ -124,3 +124,12 @@ def follow_listing(corpus: DataFrame, start: str, max_books: int) -> list[str]:
         found |= dict.fromkeys(listing(row[0], url))
         url = next_page(row[0], url)
     return [*found][:max_books]
+
+
+def scrape(corpus: DataFrame, start: str, max_books: int) -> tuple[DataFrame, DataFrame]:
+    """(books, failed urls) of a catalogue: listings are followed, then all detail pages are parsed in parallel."""
+    spark = corpus.sparkSession
+    urls = spark.createDataFrame([(i, u) for i, u in enumerate(follow_listing(corpus, start, max_books))], "seq int, url string")
+    pages = urls.join(corpus.where("content is not null and content <> ''").select("url", "content"), "url", "left")
+    books = pages.where("content is not null").select("seq", book_record(F.col("content"), F.col("url")).alias("b")).select("seq", "b.*")
+    return books, pages.where("content is null").select("seq", "url")

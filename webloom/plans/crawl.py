@@ -13,6 +13,7 @@ from webloom.operators.frontier import matches
 from webloom.operators.html import page_record
 from webloom.operators.robots import decisions
 from webloom.session import checkpoint
+from webloom.sources.sitemap import discover, sitemap_urls
 
 LEVEL = "url string, depth int, seq bigint"
 
@@ -70,3 +71,16 @@ def crawl(
         seen = checkpoint(seen.union(level.select("url")).distinct())
         level = rank
     return out
+
+
+def crawl_with_sitemaps(spark: SparkSession, seeds: Iterable[str], corpus: DataFrame, sitemaps: Iterable[str] | None = None, max_pages: int = 100, **options) -> DataFrame:
+    """A crawl whose seeds are followed by the pages of their sites' sitemaps (or of those named).
+
+    Sitemap hosts count as seed domains. No more seeds than ``max_pages`` are ever scheduled, so no more are fetched to
+    the driver.
+    """
+    seeds = [*dict.fromkeys(seeds)]
+    starts = [*sitemaps] if sitemaps is not None else [u for s in seeds for u in discover(s)]
+    found = sitemap_urls(spark, dict.fromkeys(starts), corpus.select("url", "status", "content"))
+    more = [r["url"] for r in found.orderBy("path").limit(max_pages).collect()]
+    return crawl(spark, dict.fromkeys([*seeds, *more]), corpus, max_pages, **options)
