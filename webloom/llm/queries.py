@@ -66,5 +66,25 @@ def queries() -> dict[str, Query]:
     return {"p1_found": _p1_found, "p2_found": _p2_found, "p3_found": _p3_found, "p3_pairs": _p3_pairs, "p4_figures": _p4_figures, "p4_found": _p4_found, "p5_found": _p5_found, "p7_ids": _p7_ids, "p8_found": _p8_found, "p9_found": _p9_found}
 
 
+#: Addresses of each row, one by one: strings, or an object's href or url; a text encoded twice is decoded first.
+ADDRESSES = """
+WITH texts AS (SELECT id, CASE WHEN json_valid(links_json) THEN links_json::JSON END AS j FROM pages),
+decoded AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM texts),
+elements AS (SELECT id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) WHEN json_type(j) = 'OBJECT' THEN [j] END) AS e FROM decoded),
+items AS (SELECT DISTINCT id, CASE json_type(e) WHEN 'VARCHAR' THEN e ->> '$' WHEN 'OBJECT' THEN CASE WHEN json_type(e, '$.href') = 'VARCHAR' THEN e ->> '$.href' WHEN json_type(e, '$.url') = 'VARCHAR' THEN e ->> '$.url' END END AS item FROM elements),
+own AS (SELECT * FROM items WHERE item IS NOT NULL),
+counts AS (SELECT item, count(*) AS n FROM own GROUP BY item HAVING count(*) >= 5),
+known AS (SELECT id, item, n FROM own JOIN counts USING (item)),
+pairs AS (SELECT a.item AS link_a, b.item AS link_b, count(*) AS n_ab, any_value(a.n) AS n_a, any_value(b.n) AS n_b FROM known a JOIN known b ON a.id = b.id AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5)
+"""
+WINDOWS = r"""
+SELECT {key}, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (
+SELECT {key}, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g'))), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": ADDRESSES + "SELECT link_a, link_b FROM pairs WHERE n_ab * (SELECT count(DISTINCT id) FROM own) >= 5 * n_a * n_b",
+        "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({WINDOWS.format(key='doc_id', table='documents')}) d JOIN ({WINDOWS.format(key='item_id', table='benchmark')}) b USING (run)",
+    }
