@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds of arrivals in a slice.
-SLICE_SECONDS = 600
+SLICE_SECONDS = 60
 
 
 def schedule(arrivals: DataFrame, gap: float, bucket: str = "bucket", arrival: str = "arrival", order: tuple[str, ...] = ("seq",), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
