@@ -12,8 +12,10 @@ from webloom.operators import books, fetch, frontier, html, limiter, records, re
 from webloom.operators.nested import flatten
 from webloom.plans import fixtures
 from webloom.plans.crawl import crawl
-from webloom.session import table
-from webloom.sources import readers, sitemap
+from webloom.schema import FRONTIER
+from webloom.session import scratch, table
+from webloom.sources import readers, sinks, sitemap
+from webloom.streaming import twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,6 +335,43 @@ def content_types(s, d):
     return table(s, d, "pages").select("id", content_type(F.col("content_type")).alias("media_type"))
 
 
+# written and read again
+
+
+@query("json_roundtrip", "SELECT id, url, title, text, status_code FROM pages")
+def json_roundtrip(s, d):
+    path = scratch(s, "json")
+    sinks.JsonSink(path).write(table(s, d, "pages").select("id", "url", "title", "text", "status_code"))
+    return readers.read_json(s, path, "id bigint, url string, title string, text string, status_code int")
+
+
+@query("csv_roundtrip", "SELECT CAST(id AS VARCHAR) AS id, coalesce(title, '') AS title, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS text FROM pages")
+def csv_roundtrip(s, d):
+    """Missing and empty text can't be told apart in CSV; line ends within fields are compared as LF."""
+    path = scratch(s, "csv")
+    sinks.CsvSink(path).write(table(s, d, "pages").select("id", "title", "text"))
+    back = readers.read_csv(s, path)
+    return back.select("id", F.coalesce("title", F.lit("")).alias("title"), F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")).alias("text"))
+
+
+@query("upsert_table", "SELECT url, max(crawled_at) AS crawled_at FROM pages GROUP BY url")
+def upsert_table(s, d):
+    rows = table(s, d, "pages").select("url", "crawled_at")
+    sink = sinks.TableSink(scratch(s, "table"))
+    sink.write(rows.where("crawled_at < '2025-06-01'"))
+    sink.write(rows.where("crawled_at >= '2025-06-01' or crawled_at is null"))
+    return records.upsert(s.read.parquet(sink.path).unionByName(rows), "url", ["crawled_at"])
+
+
+@query("stream_new_urls", "SELECT DISTINCT url FROM frontier")
+def stream_new_urls(s, d):
+    path = scratch(s, "stream")
+    table(s, d, "frontier").write.parquet(f"{path}-landed")
+    stream = s.readStream.schema(FRONTIER).parquet(f"{path}-landed")
+    twins.new_urls(stream.select("url")).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("url string").parquet(path)
+
+
 # sql passthrough
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="webloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the session, for tables that are written and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="webloom-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -64,7 +64,7 @@ class CsvSink:
 
     def write(self, df: DataFrame) -> None:
         flat = csv_projection(df)
-        with_retry(lambda: flat.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").csv(self.path), "csv")
+        with_retry(lambda: flat.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(self.path), "csv")
         self.saved += 1
 
     def stats(self) -> dict:
