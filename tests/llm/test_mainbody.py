@@ -63,3 +63,19 @@ def test_edges(spark):
     got = [tuple(r) for r in M.furniture_lines(df, "id", "text", "title").collect()]
     assert sorted(x for i, x in got if i == 1) == sorted(2 * flags(PAGE)) and (6, 0) in got and (None, 0) in got and not {2, 3, 4, 5} & {i for i, _ in got}
     assert M.furniture_lines(df.limit(0), "id", "text", "title").count() == 0
+
+
+def test_repeated_lines_of_a_host(spark, monkeypatch):
+    digest = "Subscribe to our daily digest and never miss a story"
+    body = "The clerk of mill number {0} counted the sacks of the town.\nA reader praised map {0} of the harbour."
+    gone = "410 Gone\nThis page was taken down by the people who made it."
+    rows = [(i, f"https://a.test/{i}", None, body.format(i) + "\n" + digest) for i in range(30)]
+    rows += [(100 + i, f"https://a.test/gone/{i}", None, gone) for i in range(30)]  # the same message is no furniture
+    rows += [(200 + i, f"https://b.test/{i}", None, body.format(7) + "\n" + digest) for i in range(30)]  # copies of one page
+    rows += [(300, None, None, body.format(1) + "\n" + digest), (301, "https://a.test/x", None, digest + "\n"), (302, "https://a.test/y", None, None)]
+    df = spark.createDataFrame(rows, "id bigint, url string, title string, text string")
+    want = [(i, 2) for i in range(30)]
+    assert sorted(map(tuple, M.furniture_lines(df, "id", "text", "title", "url").collect())) == want
+    monkeypatch.setattr("webloom.llm.mainbody.BROADCAST_LINES", -1)
+    assert sorted(map(tuple, M.furniture_lines(df, "id", "text", "title", "url").collect())) == want
+    assert M.furniture_lines(df.limit(0), "id", "text", "title", "url").count() == 0

@@ -5,15 +5,17 @@ those the lines, and in a line of links the links. Each line's link characters a
 written in (menus, controls, notices, footers, teasers of other pages). The composite density of a node divides its
 characters by its tags and takes off by its links; the densities of neighbouring lines are summed, and the run with
 the greatest sum is the body. The density of the whole page, the last step of the path from that run to the root, is
-the threshold for what else is kept.
+the threshold for what else is kept. Over a table of pages, lines that stand beside many different contents of one
+host are link characters too, whatever their wording or language.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import cache, lru_cache
+from hashlib import blake2b
 
 import ahocorasick
 import numpy as np
@@ -22,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.session import checkpoint
+
 # Entries of site menus in six languages.
 MENU = (
     "Home|News|Archive|About us|Events|Jobs|Authors|Reviews|Gallery|Downloads|Forum|Guides|Contact|Shop|Books|Press|Podcasts|Subscribe|Topics|Pricing|Gift cards|Our team|Help centre|Store locator|Imprint|Privacy|Sitemap|RSS|"
@@ -94,6 +98,11 @@ ENTRY_END = regex.compile(r"[.!?。！？;；:：]$")
 HAN = re.compile("[㐀-鿿豈-﫿]")
 NOTICE = regex.compile("|".join(SCRIPT_NOTICES), regex.I)
 NUMBERED = re.compile(r"\d\.$")
+HOST = re.compile(r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+#: A line is repeated if it stands beside this many different contents of its host, and this share of them.
+REPEATED, REPEATED_SHARE = 10, 0.1
+#: Up to this many repeated lines are broadcast; more are joined to the pages by host.
+BROADCAST_LINES = 1_000_000
 
 
 def _needles(pattern: str) -> set[str]:
@@ -187,16 +196,19 @@ def _same(a: str, b: str) -> bool:
     return bool(a) and bool(b) and (a == b or len(a) > 8 and (b.startswith(a) or b.endswith(a)))
 
 
-def furniture(lines: list[str], title: str | None = None, own: bool = True) -> list[bool]:
+def furniture(lines: list[str], title: str | None = None, own: bool = True, repeated: Collection[int] = ()) -> list[bool]:
     """For each line of a page, whether it is page furniture; blank lines are not.
 
     ``own`` tells that these are the page's own lines and not cut from a single one, in which lists are one part.
+    ``repeated`` are the places of lines known to be repeated over the host's pages; they are links, but a page of
+    nothing else keeps them as its message.
     """
     stripped = [x.strip() for x in lines]
     n = len(stripped)
     links, tags = [0.0] * n, [1.0] * n
     title = (title or "").strip()
     listing = False
+    by_count: set[int] = set()
     for i, line in enumerate(stripped):
         if not line:
             continue
@@ -208,6 +220,9 @@ def furniture(lines: list[str], title: str | None = None, own: bool = True) -> l
                 listing = False
             else:
                 c, p = len(line), 1
+        if i in repeated and c < 0.5 * len(line) and not _same(line, title):
+            c, p = len(line), 1
+            by_count.add(i)
         links[i], tags[i] = float(c), float(max(1, p))
     weight = [float(len(x)) if x.isascii() else len(x) + 1.5 * len(HAN.findall(x)) for x in stripped]
     links = [l * w / max(1, len(x)) for l, w, x in zip(links, weight, stripped)]
@@ -235,7 +250,7 @@ def furniture(lines: list[str], title: str | None = None, own: bool = True) -> l
         else:
             out.append(not (run[0] <= i <= run[1] or scores[i] >= threshold or weight[i] >= 12 or _same(line, title)))
     if all(o for o, x in zip(out, stripped) if x):  # nothing else: a notice about scripts is then the message itself
-        out = [o and not NOTICE.fullmatch(x) for o, x in zip(out, stripped)]
+        out = [o and i not in by_count and not NOTICE.fullmatch(x) for i, (o, x) in enumerate(zip(out, stripped))]
     return out
 
 
@@ -298,20 +313,84 @@ def main_content(text: str | None, title: str | None = None) -> list[str]:
     return [x.strip() for x, f in zip(lines, furniture(lines, title, own)) if x.strip() and not f]
 
 
-def furniture_lines(df: DataFrame, key: str, text: str, title: str) -> DataFrame:
+def _host(url: str | None) -> str | None:
+    m = HOST.match(url or "")
+    return m[1].lower() if m else None
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def repeated_lines(df: DataFrame, text: str, title: str, url: str) -> DataFrame:
+    """``host`` and ``lines`` (hashes of 64 bits) of the lines that are repeated over the pages of a host.
+
+    A page's content is its longest line that isn't furniture by itself, for that line the next one: copies of a page
+    and equal error pages so count once. Lines without host or without another line beside them are no evidence.
+    Distinct (host, line, content) are combined before the shuffle; every line counts, none is sampled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                hosts, lines, contents = [], [], []
+                for t, h, u in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    host = _host(u)
+                    if host is None or "\n" not in t:
+                        continue
+                    own = t.split("\n")
+                    kept = {x.strip() for x, f in zip(own, furniture(own, h)) if x.strip() and not f}
+                    longest = sorted(kept, key=lambda x: (-len(x), x))[:2]
+                    if len(longest) < 2:
+                        continue
+                    first, second = map(_hash, longest)
+                    for x in [None, *kept]:
+                        hosts.append(host)
+                        lines.append(None if x is None else _hash(x))
+                        contents.append(second if x == longest[0] else first)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64()), pa.array(contents, pa.int64())], names=["host", "line", "content"])
+
+    plain = df.select(F.col(text).cast("string").alias("text"), F.col(title).cast("string").alias("title"), F.col(url).cast("string").alias("url")).where("text is not null")
+    counted = plain.mapInArrow(run, "host string, line bigint, content bigint").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
+    by_host = counted.groupBy("host").agg(F.max(F.when(F.col("line").isNull(), F.col("n"))).alias("all"), F.collect_list(F.struct("line", "n")).alias("seen"))
+    often = F.filter("seen", lambda x: x["line"].isNotNull() & (x["n"] >= REPEATED_SHARE * F.col("all")))
+    return by_host.select("host", F.transform(often, lambda x: x["line"]).alias("lines")).where("size(lines) > 0")
+
+
+def furniture_lines(df: DataFrame, key: str, text: str, title: str, url: str | None = None) -> DataFrame:
     """Key and line_no (from 0, lines between LF characters) of every line that is page furniture.
 
     Null and empty texts and texts without LF have no lines; blank lines never count; a null title is no help but no
-    hindrance. Rows are independent: no shuffle, repeated rows repeat their lines, other columns are not read.
+    hindrance. Repeated rows repeat their lines, other columns are not read. With ``url``, lines repeated over the
+    pages of a host are counted first, and are furniture; without it rows are independent and nothing is shuffled.
     """
+    plain = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(title).cast("string").alias("title"), (F.col(url) if url else F.lit(None)).cast("string").alias("url")).where("text is not null")
+    known: dict[str, frozenset[int]] = {}
+    joined = False
+    if url:
+        repeated = checkpoint(repeated_lines(df, text, title, url))
+        joined = (repeated.agg(F.sum(F.size("lines"))).first()[0] or 0) > BROADCAST_LINES
+        if joined:
+            host = F.udf(_host, "string")
+            plain = plain.withColumn("host", host("url")).join(repeated, "host", "left").select("key", "text", "title", "url", "lines")
+        else:
+            known = {r[0]: frozenset(r[1]) for r in repeated.collect()}
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def places(lines: list[str], hashes: Collection[int]) -> Collection[int]:
+        return {i for i, x in enumerate(lines) if x.strip() and _hash(x.strip()) in hashes} if hashes else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [[i for i, f in enumerate(furniture(t.split("\n"), h)) if f] if t and "\n" in t else [] for t, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                found = []
+                for i, (t, h, u) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 4)))):
+                    lines = t.split("\n") if "\n" in t else []
+                    hashes = frozenset(part.column(4)[i].as_py() or ()) if joined else shared.value.get(_host(u), ())
+                    found.append([k for k, f in enumerate(furniture(lines, h, repeated=places(lines, hashes))) if f])
                 index = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(index), pa.array([i for x in found for i in x], pa.int32())], names=["key", "line_no"])
 
-    plain = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(title).cast("string").alias("title")).where("text is not null")
     return plain.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, line_no int").withColumnRenamed("key", key)

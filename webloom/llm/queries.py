@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return furniture_lines(table(spark, d, "pages"), "id", "text", "title")
+    return furniture_lines(table(spark, d, "pages"), "id", "text", "title", "url")
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
