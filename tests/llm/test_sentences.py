@@ -65,3 +65,22 @@ def test_edges(spark):
 def test_corpus_evidence(spark):
     df = spark.createDataFrame([("The zq. of it. A zq. 5 more, and word after word.",), ("See zq. too.",), (None,)], "text string")
     assert S.corpus_abbreviations(df, "text") == frozenset(["zq"])
+
+
+def test_opening_words_of_the_corpus(spark, monkeypatch):
+    short = "He takes vitamin C. However, it rains."
+    named = "The book is by C. Ladion and sells."
+    own = "We met However, the cat. He takes vitamin C. However, it rains."  # here it is a name
+    rows = [(1, short), (2, named), (3, own), (4, "It is late, however, and they saw however much Ladion sold."), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+
+    def cut():
+        texts = dict(rows)
+        return sorted((r["id"], texts[r["id"]][r["start_char"] : r["end_char"]]) for r in S.sentences(df, "id", "t").collect() if r["id"] < 4)
+
+    want = [(1, "He takes vitamin C."), (1, "However, it rains."), (2, named), (3, "He takes vitamin C. However, it rains."), (3, "We met However, the cat.")]
+    assert {r[0] for r in S.opening_words(df, "t").collect()} == {"however"}
+    assert cut() == want
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+    assert cut() == want
+    assert S.sentences(df.limit(0), "id", "t").count() == 0

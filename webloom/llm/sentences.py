@@ -2,7 +2,8 @@
 
 Whether a dot ends a sentence depends on the words beside it: is the left one an abbreviation, is the right one a
 name? Both are decided from unambiguous occurrences elsewhere in the same document (a dot before a small letter; a
-word that also occurs in small letters), then from such evidence in the whole corpus, then from short fixed lists.
+word that also occurs in small letters, or capitalised amid a sentence), then from such evidence in the whole corpus,
+then from short fixed lists; a capitalised word without any evidence is taken as a name.
 Marks of other scripts have rules of their own. Quotations and brackets are kept whole.
 """
 
@@ -18,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.session import checkpoint
+
 # Abbreviations before a name or a further word, which end nothing.
 NEVER = frozenset(
     "dr mr mrs ms prof st messrs rev gen col sgt capt lt hon jr vs cf eg ie e.g i.e viz resp ca vgl bzw hr fr nr bd hrsg z.b d.h u.a o.ä z.t "
@@ -46,8 +49,14 @@ INITIALS = regex.compile(r"(?:\p{Lu}\.\s*)*\p{Lu}")
 NEXT = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: For the evidence of document and corpus: a short word, its dot if any, and what follows.
 TOKEN = regex.compile(r"(?<![\p{L}\p{M}\p{N}.@/-])(\p{L}[\p{L}\p{M}]{0,5})(?![\p{L}\p{M}\p{N}@/-])(\.(?=,|[^\S\r\n][\p{Ll}\p{N}])(?![^\S\r\n][\w-]+\.\w)|(?!\.))")
+#: A capitalised word that follows a dot which may end nothing (after a short word, an initial or a letter of several).
+ASKED = regex.compile(r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}][\u00ad\u200b]*){1,6}\.[^\p{L}\p{M}\p{N}.]*(\p{Lu}[\p{L}\p{M}\p{N}]*)")
+#: A capitalised word amid a sentence: after a small letter or a comma and a space.
+AMID = regex.compile(r"(?<=[\p{Ll},][^\S\r\n])\p{Lu}[\p{L}\p{M}\p{N}]*")
 #: A corpus abbreviation has this many unambiguous dots at least, and as many as undotted occurrences.
 LEAST_DOTS = 3
+#: Opening words of up to this many bytes are broadcast; more are joined to their texts by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: The corpus list holds at most this many words: a word needs the corresponding share of all unambiguous dots.
 MOST_WORDS = 50_000
 
@@ -61,10 +70,11 @@ def evidence(text: str) -> Iterator[tuple[str, bool]]:
 class _Document:
     """What one document says about its own words; computed when first asked."""
 
-    def __init__(self, text: str, corpus: frozenset[str]):
-        self.text, self.corpus = text, corpus
+    def __init__(self, text: str, corpus: frozenset[str], openers: frozenset[str] = frozenset()):
+        self.text, self.corpus, self.openers = text, corpus, openers
         self._dotted: Counter | None = None
         self._small: set[str] | None = None
+        self._names: set[str] = set()
 
     def abbreviation(self, word: str) -> bool:
         if self._dotted is None:
@@ -75,10 +85,12 @@ class _Document:
         return seen > 0 or seen == 0 and word in self.corpus
 
     def common(self, word: str) -> bool:
-        """Whether the capitalised word also occurs in small letters, so it is no proper name."""
+        """Whether the capitalised word is no proper name: by its small letters here, else by the corpus."""
         if self._small is None:
             self._small = {w for w in NEXT.findall(self.text) if w[0].islower()}
-        return word.lower() in self._small
+            self._names = {w.lower() for w in AMID.findall(self.text)}
+        word = word.lower()
+        return word in self._small or word not in self._names and word in self.openers
 
 
 def _cased(c: str) -> bool:
@@ -163,11 +175,11 @@ def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: i
     return True
 
 
-def spans(text: str | None, corpus: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+def spans(text: str | None, corpus: frozenset[str] = frozenset(), openers: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """Sentences of a text as (start, end) in code points; nothing for null, empty and blank texts."""
     if not text or text.isspace():
         return []
-    doc = _Document(text, corpus)
+    doc = _Document(text, corpus, openers)
     out: list[tuple[int, int]] = []
     begin = 0
     for m in PARAGRAPH.finditer(text):
@@ -329,23 +341,78 @@ def corpus_abbreviations(df: DataFrame, column: str) -> frozenset[str]:
     return frozenset(r[0] for r in seen.where(F.col("dots") * MOST_WORDS >= total).select("word").collect())
 
 
+def opening_words(df: DataFrame, column: str) -> DataFrame:
+    """``word``: words, in small letters, that follow an ambiguous dot somewhere and are no proper names by the corpus.
+
+    Such a word stands in small letters more often than capitalised amid a sentence, over all texts. Words are counted
+    per batch before they are shuffled; those that follow no ambiguous dot are left out after it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: Counter = Counter()
+        capital: Counter = Counter()
+        asked: set[str] = set()
+
+        def flush() -> pa.RecordBatch:
+            words = [*(small.keys() | capital.keys() | asked)]
+            batch = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "small": pa.array([small[w] for w in words], pa.int64()), "capital": pa.array([capital[w] for w in words], pa.int64()), "asked": pa.array([w in asked for w in words], pa.bool_())})
+            for x in (small, capital, asked):
+                x.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                small.update(w for w in NEXT.findall(text) if w[0].islower())
+                capital.update(w.lower() for w in AMID.findall(text))
+                asked.update(w.lower() for w in ASKED.findall(text))
+                if len(small) + len(capital) + len(asked) > 200_000:
+                    yield flush()
+        yield flush()
+
+    counted = df.select(F.col(column).cast("string").alias("text")).where("text is not null").mapInArrow(run, "word string, small bigint, capital bigint, asked boolean")
+    summed = counted.groupBy("word").agg(F.sum("small").alias("small"), F.sum("capital").alias("capital"), F.max("asked").alias("asked"))
+    return summed.where(F.col("asked") & (F.col("small") > F.col("capital"))).select("word")
+
+
+def _openers_by_text(df: DataFrame, column: str, openers: DataFrame) -> DataFrame:
+    """``digest`` of every text that asks for opening words, and those of them that it asks for: joined by shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = [[*{w.lower() for w in ASKED.findall(t)}] for t in batch.column(1).to_pylist()]
+            index = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array([w for x in asked for w in x], pa.string())], names=["digest", "word"])
+
+    texts = df.select(F.col(column).cast("string").alias("text")).where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
+    return texts.mapInArrow(run, "digest string, word string").distinct().join(openers, "word").groupBy("digest").agg(F.collect_list("word").alias("openers"))
+
+
 def sentences(df: DataFrame, key: str, column: str, corpus: frozenset[str] | None = None) -> DataFrame:
     """Key, start_char, end_char (code points, end exclusive) of every sentence of every text.
 
     Together the sentences of a text cover all but white space. Null, empty and blank texts have none; repeated rows
     repeat theirs; other columns are not read. ``corpus`` are known abbreviations; by default they are counted first.
+    Opening words are always counted over the corpus, and broadcast if they are small, else joined to their texts.
     """
     known = corpus_abbreviations(df, column) if corpus is None else corpus
-    shared = df.sparkSession.sparkContext.broadcast(known)
+    openers = checkpoint(opening_words(df, column))
+    joined = (openers.agg(F.sum(F.length("word") + 24)).first()[0] or 0) > BROADCAST_BYTES
+    shared = df.sparkSession.sparkContext.broadcast((known, frozenset() if joined else frozenset(r[0] for r in openers.collect())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [spans(t, shared.value) for t in part.column(1).to_pylist()]
+                corpus, common = shared.value
+                if joined:
+                    found = [spans(t, corpus, frozenset(w or ())) for t, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                else:
+                    found = [spans(t, corpus, common) for t in part.column(1).to_pylist()]
                 index = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 flat = np.array([x for row in found for x in row], np.int32).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index, pa.int64())), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["key", "start_char", "end_char"])
 
     plain = df.select(F.col(key).alias("key"), F.col(column).cast("string").alias("text"))
+    if joined:
+        plain = plain.withColumn("digest", F.sha2("text", 256)).join(_openers_by_text(df, column, openers), "digest", "left").select("key", "text", "openers")
     return plain.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, start_char int, end_char int").withColumnRenamed("key", key)
