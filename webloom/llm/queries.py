@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webloom.llm.cooccurrence import cooccurrences
 from webloom.llm.leakage import leaks
 from webloom.llm.mainbody import furniture_lines
-from webloom.llm.neardup import near_duplicates
+from webloom.llm.neardup import near_duplicates, pairs
 from webloom.llm.quality import FIGURES, scored, statistics, tails
 from webloom.llm.residue import residue
 from webloom.llm.sentences import sentences
@@ -47,7 +47,8 @@ def _p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates(table(spark, d, "pages"), "id", "text", "title")
+    """Classes and links come from the operator; they are expanded here, since every pair is asked for."""
+    return pairs(*near_duplicates(table(spark, d, "pages"), "id", "text", "title"))
 
 
 def _p7_ids(spark: SparkSession, d: str) -> DataFrame:
