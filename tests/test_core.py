@@ -1,9 +1,10 @@
+import hashlib
 import json
 import urllib.robotparser
 from urllib.parse import urljoin, urlparse
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -89,20 +90,32 @@ def test_retry(spark):
     assert sorted(map(tuple, log.select("url", "attempt", "error_type", "next_retry_in").collect())) == [("a", 1, "TransientError", 2.0), ("b", 1, "PermanentError", None), ("c", 1, "TransientError", 30.0), ("c", 2, "TransientError", 30.0), ("c", 3, "TransientError", None)]
 
 
-@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 40_000), st.integers(0, 3)), max_size=25), st.sampled_from([0.3, 1.0, 7.0]))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 40_000), st.integers(0, 3)), max_size=25), st.sampled_from([0.3, 1.0, 7.0]), st.sampled_from([0.0, 0.5]), st.booleans())
+@example([("a", 0, 0), ("a", 0, 0)], 0.3, 0.0, True)
+@example([("a", 0, 0), ("a", 0, 0), (None, 0, 0), (None, 0, 1)], 0.3, 0.5, False)
 @settings(max_examples=12, deadline=None)
-def test_limiter(spark, rows, gap):
+def test_limiter(spark, rows, gap, jitter, per_domain):
     df = spark.createDataFrame([(b, t / 10, s) for b, t, s in rows], "bucket string, arrival double, seq int")
-    got = sorted(((r["bucket_key"], r["arrival_us"], r["seq"], r["start_us"], r["wait_us"]) for r in limiter.schedule(df, gap, slice_seconds=600).collect()))
+    got = sorted(((r["bucket_key"], r["arrival_us"], r["seq"], r["start_us"], r["wait_us"]) for r in limiter.schedule(df, gap, slice_seconds=600, jitter=jitter, seed=3, per_domain=per_domain).collect()))
     want, last = [], {}
-    for b, t, s in sorted(((b or "_global", t, s) for b, t, s in rows), key=lambda x: (x[0], x[1], x[2])):
+    for b, t, s in sorted((((b or "_global") if per_domain else "_global", t, s) for b, t, s in rows), key=lambda x: (x[0], x[1], x[2])):
         a, g = t * 100_000, round(gap * 1e6)
-        start = a if b not in last else max(a, last[b] + g)
+        late = (int(hashlib.md5(f"3:{b}:{a}:{s}".encode()).hexdigest()[:8], 16) * round(jitter * 1e6)) >> 32
+        start = (a if b not in last else max(a, last[b] + g)) + late
         want.append((b, a, s, start, start - (a if b not in last else max(a, last[b]))))
         last[b] = start
     assert got == sorted(want)
 
 
+def test_limiter_knobs(spark):
+    assert limiter.required_gap(2.0) == 0.5 and limiter.required_gap(100, 0.3) == 0.3 and limiter.required_gap(0) == 1000
+    df = spark.createDataFrame([("a", 0.0, 0), ("b", 0.0, 1), ("b", 0.0, 2)], "bucket string, arrival double, seq int")
+    delays = spark.createDataFrame([("b", 5)], "bucket_key string, crawl_delay int")
+    got = sorted((r["seq"], r["start_us"], r["fetch_us"]) for r in limiter.crawl_delayed(limiter.schedule(df, 1.0), delays).collect())
+    assert got == [(0, 0, 0), (1, 0, 5_000_000), (2, 1_000_000, 6_000_000)]
+    assert limiter.schedule(df.limit(0), 1.0, jitter=0.1).count() == 0
+
+
 ROBOTS = ["User-agent: *\nDisallow: /a\nAllow: /a/b\nCrawl-delay: 5", "User-agent: deskbot\nDisallow: /x\n\nUser-agent: *\nDisallow: /", "user-agent:*\nDisallow: /*.pdf$\nCrawl-delay: 1.5", "Disallow: /", "User-agent: a\nUser-agent: deskbot\r\nDisallow:\r\nDisallow: /q?x=1 # c", "User-agent: *\nDisallow: /caf%C3%A9\nAllow: /", "", "User-agent: *"]
 
 

@@ -225,6 +225,22 @@ def rate_limit_stats(s, d):
     return limiter.limiter_stats(limiter.schedule(table(s, d, "arrivals"), 1.0))
 
 
+@query("rate_limit_min_delay", f"SELECT k AS bucket_key, seq, arrival_us, start_us, wait_us FROM ({WAITED.replace('n * 1000000', 'n * 700000')})")
+def rate_limit_min_delay(s, d):
+    return limiter.schedule(table(s, d, "arrivals"), limiter.required_gap(100.0, 0.7)).select("bucket_key", "seq", "arrival_us", "start_us", "wait_us")
+
+
+JITTERED = "SELECT seq, arrival_us, (CAST('0x' || left(md5('7:_global:' || arrival_us || ':' || seq), 8) AS BIGINT) * 300000) >> 32 AS j FROM ({})"
+LOADED = f"SELECT *, row_number() OVER w AS n, sum(500000 + j) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM ({JITTERED.format(ARRIVED)}) WINDOW w AS (ORDER BY arrival_us, seq, j)"
+PUT_OFF = f"SELECT *, c + max(arrival_us + j - c) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS start_us FROM ({LOADED})"
+
+
+@query("rate_limit_jitter", f"SELECT '_global' AS bucket_key, seq, arrival_us, CAST(start_us AS BIGINT) AS start_us, CAST(start_us - greatest(arrival_us, coalesce(lag(start_us) OVER (ORDER BY n), arrival_us)) AS BIGINT) AS wait_us FROM ({PUT_OFF})")
+def rate_limit_jitter(s, d):
+    """One bucket for all hosts, two requests a second and a seeded jitter of up to 0.3 s."""
+    return limiter.schedule(table(s, d, "arrivals"), limiter.required_gap(2.0), jitter=0.3, seed=7, per_domain=False).select("bucket_key", "seq", "arrival_us", "start_us", "wait_us")
+
+
 @query("robots_rules")
 def robots_rules(s, d):
     return robots.robots_rules(table(s, d, "robots"))
