@@ -25,15 +25,15 @@ def _p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue(table(spark, d, "pages"), "id", "text", "title").select("id")
+    return residue(table(spark, d, "pages"), "id", "text", "title", status="status_code").select("id")
 
 
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return tails(table(spark, d, "pages"), "id", "text", "title", "text_length", "links_count")
+    return tails(table(spark, d, "pages"), "id", "text", "title", "text_length", "links_count", status="status_code")
 
 
 def _p4_figures(spark: SparkSession, d: str) -> DataFrame:
-    figured = checkpoint(statistics(table(spark, d, "pages"), "id", "text", "title", "text_length", "links_count"))
+    figured = checkpoint(statistics(table(spark, d, "pages"), "id", "text", "title", "text_length", "links_count", status="status_code"))
     return scored(figured).select("id", "lang", "kind", "residue", *(f"{f}{x}" for f in FIGURES for x in ("", "_z", "_pct")))
 
 
