@@ -66,7 +66,7 @@ def test_edges(spark):
 
 
 def test_repeated_lines_of_a_host(spark, monkeypatch):
-    digest = "Subscribe to our daily digest and never miss a story"
+    digest = "A daily digest of what readers liked best"  # told by its being repeated alone
     body = "The clerk of mill number {0} counted the sacks of the town.\nA reader praised map {0} of the harbour."
     gone = "410 Gone\nThis page was taken down by the people who made it."
     rows = [(i, f"https://a.test/{i}", None, body.format(i) + "\n" + digest) for i in range(30)]
@@ -79,3 +79,29 @@ def test_repeated_lines_of_a_host(spark, monkeypatch):
     monkeypatch.setattr("webloom.llm.mainbody.BROADCAST_LINES", -1)
     assert sorted(map(tuple, M.furniture_lines(df, "id", "text", "title", "url").collect())) == want
     assert M.furniture_lines(df.limit(0), "id", "text", "title", "url").count() == 0
+
+
+UNSEEN = {
+    "en": ["Jump straight to the article", "Home | Recipes | Travel", "Join 40,000 readers - subscribe to our newsletter today", "We and our partners use cookies to personalise ads. OK / No thanks", "Follow us on every network"],
+    "es": ["Ir al contenido", "Cocina | Viajes | Jardín", "Suscríbete para recibir novedades", "Esta web emplea cookies de terceros. Rechazar / Configurar"],
+    "de": ["Direkt zum Inhalt", "Rezepte | Reisen | Garten", "Jetzt anmelden und nichts verpassen", "Diese Website setzt Cookies ein. Akzeptieren / Ablehnen"],
+}
+TEXTS = {
+    "en": ["Why the harbour froze", "In January the harbour froze for nine days, and the ferries stayed where they were until the wind turned.", "Nobody could say whether the fishermen would accept the loss, since cookies and bread had sold out as well.", "Port | Days | Boats", "Ahl | 9 | 14", "Brin | 3 | 2", "Subscribers wrote that they had seen it coming."],
+    "es": ["Por qué se heló el puerto", "En enero el puerto se heló durante nueve días y los barcos se quedaron donde estaban hasta que cambió el viento.", "Nadie sabía decir si los pescadores aceptarían la pérdida."],
+    "de": ["Warum der Hafen zufror", "Im Januar fror der Hafen für neun Tage zu, und die Fähren blieben liegen, bis der Wind drehte.", "Niemand konnte sagen, ob die Fischer den Verlust hinnehmen würden."],
+}
+
+
+def test_unseen_wordings():
+    for lang, top in UNSEEN.items():
+        lines = [*top[:2], *TEXTS[lang], *top[2:]]
+        assert [x for x, f in zip(lines, M.furniture(lines)) if f] == top, lang
+    long = " · ".join(["Gardening", "Long walks", "Old maps"] * 40)  # a menu of any length
+    assert M.furniture([*TEXTS["en"], long])[-1]
+
+
+def test_density_decides(monkeypatch):
+    lines = [*UNSEEN["en"], *TEXTS["en"]]
+    monkeypatch.setattr(M, "density", lambda *a: 0.0)
+    assert sum(M.furniture(lines)) != len(UNSEEN["en"])

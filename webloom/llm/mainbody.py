@@ -1,12 +1,13 @@
 """The main body of a saved page, by composite text density over the tree of its lines.
 
-A saved text has no markup left, so the tree is the page's own layout: the body, below it the runs of lines, below
-those the lines, and in a line of links the links. Each line's link characters are those that page furniture is
-written in (menus, controls, notices, footers, teasers of other pages). The composite density of a node divides its
-characters by its tags and takes off by its links; the densities of neighbouring lines are summed, and the run with
-the greatest sum is the body. The density of the whole page, the last step of the path from that run to the root, is
-the threshold for what else is kept. Over a table of pages, lines that stand beside many different contents of one
-host are link characters too, whatever their wording or language.
+A saved text has no markup left, so the tree is the page's own layout: the page, below it its blocks (runs of lines of
+one nature), below those the lines, and in a line the pieces it is made of. Each line's link characters are told from
+its structure (a row of short items between separators, a sentence followed by controls, a short call without an end
+that asks to subscribe, sign in, share or jump), from its being repeated beside many different contents of a host, and
+from the wording of page furniture in six languages. The composite density of a node divides its characters by its tags
+and takes off by its links; the densities of a node's children are summed, and the block with the greatest sum is the
+body. The density of the page, the last step of the path from that block to the root, is the threshold: blocks below it
+are furniture, whatever their lines are.
 """
 
 from __future__ import annotations
@@ -82,6 +83,18 @@ SCRIPT_NOTICES = [
     r"Bitte aktivieren Sie JavaScript, um alle Funktionen zu nutzen\.", r"Включите JavaScript для полной версии\.", r"请启用JavaScript以获得完整功能。",
 ]
 
+# Stems of what furniture asks for, and the words of its controls, in six languages.
+ASKS = (
+    r"cookies?|subscribe|sign (?:in|up)|log ?(?:in|out)|logged (?:in|out)|unsubscribe|privacy|consent|e-?mail address|all rights reserved|follow us|share this|add to (?:basket|cart)|download our app|advertis\w+|sponsored|"
+    r"suscr[ií]b\w+|iniciar sesión|regístr\w+|privacidad|derechos reservados|síguenos|compártelo|publicidad|abonn\w+|se connecter|inscri\w+|confidentialité|droits réservés|suivez-nous|partagez|publicité|"
+    r"anmelden|registrier\w+|datenschutz\w*|einwilligung|rechte vorbehalten|folgen sie uns|werbung|подпи(?:сыв|ш|с)\w+|войти|регистрац\w+|конфиденциальност\w+|права защищены|поделит\w+|реклам\w+|订阅|登录|注册|隐私|版权所有|关注我们|广告"
+)
+CONTROLS = (
+    r"accept|agree|allow|reject|decline|dismiss|confirm|close|ok(?:ay)?|got it|i understand|no,? thanks|not now|later|manage|settings|options|preferences|customi[sz]e|learn more|more info(?:rmation)?|save|go|submit|send|sign up|join|subscribe|yes|no|"
+    r"aceptar|rechazar|configurar|cerrar|entendido|de acuerdo|enviar|accepter|refuser|paramétrer|fermer|compris|d'accord|envoyer|akzeptieren|ablehnen|einstellungen|schließen|verstanden|zustimmen|absenden|принять|отклонить|закрыть|понятно|согласен|хорошо|отправить|接受|拒绝|设置|关闭|知道了|同意|发送"
+)
+JUMPS = r"(?:skip|jump|go|scroll)(?: \w+){0,2} to(?: the| main){0,2} (?:content|navigation|menu|article|text|search|footer|top|comments)|(?:ir|saltar|pasar) al? (?:contenido|menú|texto)|(?:aller|passer) (?:au|directement au) (?:contenu|menu|texte)|(?:zum|direkt zum|weiter zum) (?:inhalt|menü|artikel)|(?:перейти|к) (?:к )?(?:содержанию|меню|тексту)|跳[到至](?:主要)?(?:内容|正文|菜单)"
+
 SEPARATOR = r"(?: ?[|·/»>•] ?|\s+)"
 MENU = "|".join(sorted(MENU.split("|"), key=len, reverse=True))
 LEFT, RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -97,6 +110,15 @@ SENTENCE = regex.compile(r"\p{Ll}[.!?][”»’\")]* \p{Lu}|[。！？].")
 ENTRY_END = regex.compile(r"[.!?。！？;；:：]$")
 HAN = re.compile("[㐀-鿿豈-﫿]")
 NOTICE = regex.compile("|".join(SCRIPT_NOTICES), regex.I)
+ASKING = regex.compile(rf"(?<![\p{{L}}])(?:{ASKS})(?![\p{{L}}])", regex.I)
+JUMP = regex.compile(rf"(?:{JUMPS})", regex.I)
+#: A sentence, and after its end nothing but controls.
+CONTROLLED = regex.compile(rf".*[.!?。！？:：…] *(?:(?:{CONTROLS})(?: (?:all|cookies|and close|& close|todo|tout|alle|все|全部))?[ /|,·&-]*)+[.!]?", regex.I)
+ITEM_SEPARATOR = re.compile(r" *[|·•»›>] *| +/ +")
+ITEM = regex.compile(r"[\p{L}&' -]{2,30}")
+SENTENCE_END = regex.compile(r"[.!?。！？…][”»’\")]*$")
+#: Words of a call; more are a text. No jump link's pattern is as long as this. The mark of asking stems.
+CALL_WORDS, JUMP_LENGTH, ASKED = 14, 64, -1
 NUMBERED = re.compile(r"\d\.$")
 HOST = re.compile(r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 #: A line is repeated if it stands beside this many different contents of its host, and this share of them.
@@ -136,6 +158,9 @@ def _automaton() -> ahocorasick.Automaton:
     for i, p in enumerate(PHRASES + SCRIPT_NOTICES):
         for w in _needles(p):
             words.setdefault(w, []).append(i)
+    for p in regex.split(r"\|(?![^(]*\))", ASKS):
+        for w in _needles(p):
+            words.setdefault(w, []).append(ASKED)
     out = ahocorasick.Automaton()
     for w, which in words.items():
         out.add_word(w, which)
@@ -143,9 +168,15 @@ def _automaton() -> ahocorasick.Automaton:
     return out
 
 
+@lru_cache(maxsize=1 << 14)
+def _hits(text: str) -> frozenset[int]:
+    """The patterns that a text can match at all."""
+    return frozenset(i for _, hits in _automaton().iter(text.lower()) for i in hits)
+
+
 def phrases(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the furniture phrases of a text, leftmost and longest first, without overlap."""
-    which = {i for _, hits in _automaton().iter(text.lower()) for i in hits}
+    which = _hits(text) - {ASKED}
     if not which:
         return
     end = 0
@@ -155,6 +186,25 @@ def phrases(text: str) -> Iterator[tuple[int, int]]:
             end = stop
 
 
+def _cells(line: str) -> int:
+    return sum(1 for x in ITEM_SEPARATOR.split(line) if x) if ITEM_SEPARATOR.search(line) else 0
+
+
+def items(line: str) -> int:
+    """The number of short items without figures that a line lists between separators, else 0."""
+    parts = [x for x in ITEM_SEPARATOR.split(line) if x] if ITEM_SEPARATOR.search(line) else []
+    return len(parts) if len(parts) >= 3 and all(ITEM.fullmatch(x) and x.count(" ") < 4 for x in parts) else 0
+
+
+def structural(line: str) -> bool:
+    """Whether a line is a call or a notice with controls by its make, whatever site it stands on."""
+    if len(line) < JUMP_LENGTH and JUMP.fullmatch(line):
+        return True
+    if ASKED not in _hits(line) or not ASKING.search(line):
+        return False
+    return not SENTENCE_END.search(line) and line.count(" ") < CALL_WORDS or bool(CONTROLLED.fullmatch(line))
+
+
 @lru_cache(maxsize=1 << 16)
 def link_chars(line: str) -> tuple[int, int]:
     """(characters, pieces) of a stripped line that are page furniture by its wording."""
@@ -212,7 +262,13 @@ def furniture(lines: list[str], title: str | None = None, own: bool = True, repe
     for i, line in enumerate(stripped):
         if not line:
             continue
-        c, p = (0, 1) if len(line) > 400 else link_chars(line)
+        c, p = link_chars(line)
+        if 2 * c < len(line):
+            above, below = stripped[i - 1] if i else "", stripped[i + 1] if i + 1 < n else ""
+            if structural(line) and not below[:1].islower():
+                c, p = len(line), max(1, p)
+            elif (k := items(line)) and k not in (_cells(above), _cells(below)):
+                c, p = len(line), k  # a row of items that is no row of a table
         if c >= 0.7 * len(line):
             listing = listing and not MENU_LINE.fullmatch(line) or bool(HEADING.fullmatch(line))
         elif listing:
@@ -229,26 +285,22 @@ def furniture(lines: list[str], title: str | None = None, own: bool = True, repe
     page_chars, page_links, page_tags = sum(weight), sum(links), sum(t for t, x in zip(tags, stripped) if x)
     link_tags = sum(t for t, l in zip(tags, links) if l)
     threshold = density(page_chars, page_tags, page_links, link_tags, page_chars, page_links)
-    scores = [density(w, t, l, t if l else 0.0, page_chars, page_links) if w else 0.0 for w, t, l in zip(weight, tags, links)]
-    # the run of lines with the greatest sum of densities above the threshold of the body's path
-    best = total = 0.0
-    start, run = 0, (0, -1)
-    for i in range(n):
-        if not stripped[i]:
-            continue
-        if total <= 0:
-            total, start = 0.0, i
-        total += scores[i] if links[i] < 0.5 * weight[i] else -threshold
-        if total > best:
-            best, run = total, (start, i)
-    out = []
+    # the children of the page: runs of lines of one nature
+    blocks: list[list[int]] = []
     for i, line in enumerate(stripped):
-        if not line:
-            out.append(False)
-        elif links[i] >= 0.5 * weight[i]:
-            out.append(True)
-        else:
-            out.append(not (run[0] <= i <= run[1] or scores[i] >= threshold or weight[i] >= 12 or _same(line, title)))
+        if line:
+            if blocks and (links[i] >= 0.5 * weight[i]) == (links[blocks[-1][0]] >= 0.5 * weight[blocks[-1][0]]):
+                blocks[-1].append(i)
+            else:
+                blocks.append([i])
+    sums = [sum(density(weight[i], tags[i], links[i], tags[i] if links[i] else 0.0, page_chars, page_links) for i in at) for at in blocks]
+    body = max(range(len(blocks)), key=sums.__getitem__, default=0)
+    out = [False] * n
+    for k, at in enumerate(blocks):
+        own = density(sum(weight[i] for i in at), sum(tags[i] for i in at), sum(links[i] for i in at), sum(tags[i] for i in at if links[i]), page_chars, page_links)
+        kept = own >= threshold and own > 0 or k == body and sums[k] > 0
+        for i in at:
+            out[i] = not kept and not _same(stripped[i], title)
     if all(o for o, x in zip(out, stripped) if x):  # nothing else: a notice about scripts is then the message itself
         out = [o and i not in by_count and not NOTICE.fullmatch(x) for i, (o, x) in enumerate(zip(out, stripped))]
     return out
@@ -260,8 +312,6 @@ def page_lines(text: str, title: str | None = None) -> tuple[list[str], bool]:
     if len(lines) > 1:
         return [x.rstrip("\r") for x in lines], True
     body = text.strip()
-    if len(body) < 120:
-        return [body], False
     title = _headline(body, title)
     taken = [*phrases(body)]
     plain = body
@@ -282,7 +332,7 @@ def page_lines(text: str, title: str | None = None) -> tuple[list[str], bool]:
             out += [part[: m.start()], part[m.start() : m.end()], part[m.end() :].strip()]
         else:
             teaser = regex.search(rf"{LEFT}(?:{TEASERS}|{PAGERS})", part, regex.I)
-            if teaser and not SENTENCE.search(part, teaser.end()) and len(part) - teaser.end() < 110:
+            if teaser and not SENTENCE.search(part, teaser.end()) and not ENTRY_END.search(part):
                 out += [part[: teaser.start()], part[teaser.start() :]]
             else:
                 out.append(part)
