@@ -3,7 +3,7 @@
 Whether a dot ends a sentence depends on the words beside it: is the left one an abbreviation, is the right one a
 name? Both are decided from unambiguous occurrences elsewhere in the same document (a dot before a small letter; a
 word that also occurs in small letters, or capitalised amid a sentence), then from such evidence in the whole corpus,
-then from short fixed lists; a capitalised word without any evidence is taken as a name.
+then, where neither says anything, from short fixed lists; a capitalised word without any evidence is taken as a name.
 Marks of other scripts have rules of their own. Quotations and brackets are kept whole.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,30 +47,40 @@ HOST = regex.compile(r"(?:https?://|www\.)?[\w-]+(?:\.[\w-]+)+(?:/|\b)|[\w.+-]+@
 LIST_MARK = regex.compile(r"\s*(?:\d{1,3}|\p{L}|[ivxIVX]{1,4})$")
 INITIALS = regex.compile(r"(?:\p{Lu}\.\s*)*\p{Lu}")
 NEXT = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-#: For the evidence of document and corpus: a short word, its dot if any, and what follows.
-TOKEN = regex.compile(r"(?<![\p{L}\p{M}\p{N}.@/-])(\p{L}[\p{L}\p{M}]{0,5})(?![\p{L}\p{M}\p{N}@/-])(\.(?=,|[^\S\r\n][\p{Ll}\p{N}])(?![^\S\r\n][\w-]+\.\w)|(?!\.))")
+#: For the evidence of document and corpus: a word, its dot if any, and what follows.
+TOKEN = regex.compile(r"(?<![\p{L}\p{M}\p{N}.@/-])(\p{L}[\p{L}\p{M}]*+)(?![\p{L}\p{M}\p{N}@/-])(\.(?=,|[^\S\r\n][\p{Ll}\p{N}])(?![^\S\r\n][\w-]+\.\w)|(?!\.))")
 #: A capitalised word that follows a dot which may end nothing (after a short word, an initial or a letter of several).
 ASKED = regex.compile(r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}][\u00ad\u200b]*){1,6}\.[^\p{L}\p{M}\p{N}.]*(\p{Lu}[\p{L}\p{M}\p{N}]*)")
+#: A word before a dot.
+DOTTED = regex.compile(r"(\p{L}[\p{L}\p{M}.-]*+)(?<=\.)")
 #: A capitalised word amid a sentence: after a small letter or a comma and a space.
 AMID = regex.compile(r"(?<=[\p{Ll},][^\S\r\n])\p{Lu}[\p{L}\p{M}\p{N}]*")
-#: A corpus abbreviation has this many unambiguous dots at least, and as many as undotted occurrences.
-LEAST_DOTS = 3
-#: Opening words of up to this many bytes are broadcast; more are joined to their texts by shuffle.
+#: A dotted word and the capitalised word after it.
+TITLED = regex.compile(r"(?<![\p{L}\p{M}\p{N}.@/-])(\p{L}[\p{L}\p{M}]*+)\.[^\S\r\n](\p{Lu}[\p{L}\p{M}\p{N}]*+)")
+#: A corpus abbreviation has this many unambiguous dots at least, and more than occurrences without a dot. Of those,
+#: titles are the ones that stand before a word known in small letters at most once in so many capitalised words.
+#: A word that hardly ever stands without a dot, and so many times before capitalised words none of which its document
+#: knows in small letters, is one as well.
+LEAST_DOTS, TITLE_RARELY, LEAST_TITLED = 3, 20, 8
+#: Letters of a word that its own document can show to be an abbreviation; a longer one takes the corpus.
+SHORT = 6
+#: Corpus evidence of up to this many bytes is broadcast; more is joined to its texts by shuffle.
 BROADCAST_BYTES = 32 << 20
-#: The corpus list holds at most this many words: a word needs the corresponding share of all unambiguous dots.
-MOST_WORDS = 50_000
 
 
 def evidence(text: str) -> Iterator[tuple[str, bool]]:
-    """(word in small letters, whether an unambiguous dot follows) for the short words of a text."""
+    """(word in small letters, whether an unambiguous dot follows) for the words of a text."""
     for m in TOKEN.finditer(text):
         yield m[1].lower(), bool(m[2])
 
 
 class _Document:
-    """What one document says about its own words; computed when first asked."""
+    """What one document says about its own words, and the corpus about the rest; computed when first asked.
 
-    def __init__(self, text: str, corpus: frozenset[str], openers: frozenset[str] = frozenset()):
+    ``corpus`` are known abbreviations, or those with whether each is a title.
+    """
+
+    def __init__(self, text: str, corpus: Collection[str], openers: Collection[str] = frozenset()):
         self.text, self.corpus, self.openers = text, corpus, openers
         self._dotted: Counter | None = None
         self._small: set[str] | None = None
@@ -80,17 +90,21 @@ class _Document:
         if self._dotted is None:
             self._dotted = Counter()
             for w, dot in evidence(self.text):
-                self._dotted[w] += 1 if dot else -1
+                if len(w) <= SHORT:
+                    self._dotted[w] += 1 if dot else -1
         seen = self._dotted.get(word, 0)
         return seen > 0 or seen == 0 and word in self.corpus
 
-    def common(self, word: str) -> bool:
-        """Whether the capitalised word is no proper name: by its small letters here, else by the corpus."""
+    def title(self, word: str) -> bool:
+        return isinstance(self.corpus, dict) and self.corpus.get(word, False)
+
+    def opener(self, word: str) -> bool | None:
+        """Whether the capitalised word is a common one: by its small letters here, else by the corpus; None if neither says."""
         if self._small is None:
             self._small = {w for w in NEXT.findall(self.text) if w[0].islower()}
             self._names = {w.lower() for w in AMID.findall(self.text)}
         word = word.lower()
-        return word in self._small or word not in self._names and word in self.openers
+        return True if word in self._small else False if word in self._names else True if word in self.openers else None
 
 
 def _cased(c: str) -> bool:
@@ -101,6 +115,14 @@ def _greek(c: str) -> bool:
     return "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" or "̀" <= c <= "ͯ"
 
 
+def _word_before(text: str, start: int, at: int) -> regex.Match | None:
+    """The word that ends at a place, whole however long it is."""
+    left = at
+    while left > start and not text[left - 1].isspace():
+        left -= 1
+    return WORD.search(text, left, at)
+
+
 def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: int) -> bool:
     """Whether the single dot at ``at`` ends the sentence that began at ``start``; ``nxt`` is the next visible place."""
     text = doc.text
@@ -116,7 +138,7 @@ def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: i
         token = text[max(left + 1, start) : at + 30].split(None, 1)
         if token and regex.search(r"[@/\\]|www\.|://", token[0]):
             return False
-        word = WORD.search(text, max(start, at - 24), at)
+        word = _word_before(text, start, at)
         if word and len(word[0].rstrip(".")) == 1:
             return False  # initials, e.g.
         if c.isupper():
@@ -129,13 +151,13 @@ def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: i
     if LIST_MARK.fullmatch(text, first, at):
         return False
     lower, upper, digit = c.islower(), c.isupper(), c.isdigit()
-    match = WORD.search(text, max(start, at - 24), at)
+    match = _word_before(text, start, at)
     raw = match[0].replace("\u00ad", "").replace("\u200b", "") if match else ""
     raw = unicodedata.normalize("NFC", raw)
     word = raw.lower()
     if len(word) == 1 and at - 3 >= start and text[at - 2].isspace() and text[at - 3] == ".":  # spaced: z. B., т. д.
         k = at - 3
-        head = WORD.search(text, max(start, k - 12), k)
+        head = _word_before(text, start, k)
         joined = f"{head[0].lower()}.{word}" if head else word
         if joined in MAY_END:
             return not lower and not digit
@@ -146,7 +168,8 @@ def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: i
     if lower:
         return False
     following = NEXT.match(text, nxt, stop)
-    name = bool(following) and upper and not doc.common(following[0])
+    common = doc.opener(following[0]) if following and upper else None
+    name = bool(following) and upper and not common
     if len(raw) == 1 and raw.isupper():  # an initial
         return not name and not digit and not INITIALS.fullmatch(text, start, at)
     if not raw:
@@ -157,6 +180,9 @@ def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: i
             left = NEXT.findall(text, max(start, k - 12), k)
             return not (at - k <= 2 and left and left[-1].lower() in ORDINAL_LEFT and (upper or digit))
         return True
+    known = word and doc.abbreviation(word)
+    if known and common is not None and not len(raw) == 1:  # both neighbours are known
+        return common and not doc.title(word) and word not in NEVER
     if word in NEVER:
         return False
     if word in ("г", "гг") and not digit:
@@ -170,12 +196,10 @@ def _dot_ends(doc: _Document, at: int, start: int, stop: int, first: int, nxt: i
         return not digit and (upper and not name if raw.islower() else not name)
     if regex.fullmatch(r"(?:\p{Lu}\.)+\p{Lu}", raw):
         return not name
-    if len(raw) <= 6 and doc.abbreviation(word):
-        return not name and not digit
-    return True
+    return not known or not name and not digit
 
 
-def spans(text: str | None, corpus: frozenset[str] = frozenset(), openers: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+def spans(text: str | None, corpus: Collection[str] = frozenset(), openers: Collection[str] = frozenset()) -> list[tuple[int, int]]:
     """Sentences of a text as (start, end) in code points; nothing for null, empty and blank texts."""
     if not text or text.isspace():
         return []
@@ -309,110 +333,111 @@ def _paragraph(doc: _Document, begin: int, stop: int, out: list[tuple[int, int]]
         out.append((start, stop))
 
 
-def corpus_abbreviations(df: DataFrame, column: str) -> frozenset[str]:
-    """Short words that stand with an unambiguous dot more often than without a dot, over all texts.
+COUNTS = ("dots", "plain", "small", "capital", "asked", "common", "other")
+
 
-    Counts are combined per batch before they are shuffled. A word needs 1/``MOST_WORDS`` of all unambiguous dots
-    (and ``LEAST_DOTS``), so the list that reaches the driver has at most that many short words.
+def corpus_evidence(df: DataFrame, column: str) -> DataFrame:
+    """What the corpus says about its words: one row per abbreviation or opening word.
+
+    ``word`` in small letters; ``abbreviation``: it stands with an unambiguous dot ``LEAST_DOTS`` times and more often
+    than without, or hardly ever without a dot and always before names; ``title``: the capitalised word after such a dot is hardly ever one that its document knows in small
+    letters; ``opener``: it follows an ambiguous dot somewhere and stands in small letters more often than capitalised
+    amid a sentence. Counted in one pass over all texts, combined per batch before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dots: Counter = Counter()
-        plain: Counter = Counter()
+        counts: dict[str, list[int]] = {}
+        blank = [0] * len(COUNTS)
+
+        def add(words: Counter, which: int) -> None:
+            for w, n in words.items():
+                counts.setdefault(w, blank[:])[which] += n
 
         def flush() -> pa.RecordBatch:
-            words = [*(dots.keys() | plain.keys())]
-            batch = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "dots": pa.array([dots[w] for w in words], pa.int64()), "plain": pa.array([plain[w] for w in words], pa.int64())})
-            dots.clear()
-            plain.clear()
+            columns = [*zip(*counts.values())] if counts else [()] * len(COUNTS)
+            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["word", *COUNTS])
+            counts.clear()
             return batch
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for word, dot in evidence(text):
-                    (dots if dot else plain)[word] += 1
-                if len(plain) + len(dots) > 200_000:
+                found = Counter(evidence(text))
+                add(Counter({w: n for (w, dot), n in found.items() if dot}), 0)
+                add(Counter({w: n for (w, dot), n in found.items() if not dot}), 1)
+                small = Counter(w for w in NEXT.findall(text) if w[0].islower())
+                add(small, 2)
+                add(Counter(w.lower() for w in AMID.findall(text)), 3)
+                add(Counter(w.lower() for w in ASKED.findall(text)), 4)
+                for (left, right), n in Counter(TITLED.findall(text)).items():
+                    add(Counter({left.lower(): n}), 5 if right.lower() in small else 6)
+                if len(counts) > 200_000:
                     yield flush()
         yield flush()
 
-    counted = df.select(F.col(column).cast("string").alias("text")).where("text is not null").mapInArrow(run, "word string, dots bigint, plain bigint").groupBy("word").agg(F.sum("dots").alias("dots"), F.sum("plain").alias("plain"))
-    seen = counted.where((F.col("dots") >= LEAST_DOTS) & (F.col("dots") > F.col("plain")))
-    total = seen.agg(F.sum("dots")).first()[0] or 0
-    return frozenset(r[0] for r in seen.where(F.col("dots") * MOST_WORDS >= total).select("word").collect())
-
+    counted = df.select(F.col(column).cast("string").alias("text")).where("text is not null").mapInArrow(run, f"word string, {', '.join(f'{c} bigint' for c in COUNTS)}")
+    summed = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    before_names = F.col("common") * TITLE_RARELY <= F.col("common") + F.col("other")
+    always = before_names & (F.col("other") >= LEAST_TITLED) & (F.col("plain") * TITLE_RARELY <= F.col("dots") + F.col("other"))
+    abbreviation = always | (F.col("dots") >= LEAST_DOTS) & (F.col("dots") > F.col("plain"))
+    title = abbreviation & before_names
+    opener = (F.col("asked") > 0) & (F.col("small") > F.col("capital"))
+    return summed.select("word", abbreviation.alias("abbreviation"), title.alias("title"), opener.alias("opener")).where("abbreviation or opener")
 
-def opening_words(df: DataFrame, column: str) -> DataFrame:
-    """``word``: words, in small letters, that follow an ambiguous dot somewhere and are no proper names by the corpus.
-
-    Such a word stands in small letters more often than capitalised amid a sentence, over all texts. Words are counted
-    per batch before they are shuffled; those that follow no ambiguous dot are left out after it.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small: Counter = Counter()
-        capital: Counter = Counter()
-        asked: set[str] = set()
-
-        def flush() -> pa.RecordBatch:
-            words = [*(small.keys() | capital.keys() | asked)]
-            batch = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "small": pa.array([small[w] for w in words], pa.int64()), "capital": pa.array([capital[w] for w in words], pa.int64()), "asked": pa.array([w in asked for w in words], pa.bool_())})
-            for x in (small, capital, asked):
-                x.clear()
-            return batch
+def corpus_abbreviations(df: DataFrame, column: str) -> frozenset[str]:
+    """The abbreviations of a corpus whose list is known to be small."""
+    return frozenset(r[0] for r in corpus_evidence(df, column).where("abbreviation").select("word").collect())
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                small.update(w for w in NEXT.findall(text) if w[0].islower())
-                capital.update(w.lower() for w in AMID.findall(text))
-                asked.update(w.lower() for w in ASKED.findall(text))
-                if len(small) + len(capital) + len(asked) > 200_000:
-                    yield flush()
-        yield flush()
 
-    counted = df.select(F.col(column).cast("string").alias("text")).where("text is not null").mapInArrow(run, "word string, small bigint, capital bigint, asked boolean")
-    summed = counted.groupBy("word").agg(F.sum("small").alias("small"), F.sum("capital").alias("capital"), F.max("asked").alias("asked"))
-    return summed.where(F.col("asked") & (F.col("small") > F.col("capital"))).select("word")
+def opening_words(df: DataFrame, column: str) -> DataFrame:
+    """``word``: words, in small letters, that follow an ambiguous dot somewhere and are no proper names by the corpus."""
+    return corpus_evidence(df, column).where("opener").select("word")
 
 
-def _openers_by_text(df: DataFrame, column: str, openers: DataFrame) -> DataFrame:
-    """``digest`` of every text that asks for opening words, and those of them that it asks for: joined by shuffle."""
+def _evidence_by_text(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """``digest`` of every text and what the corpus says about the words beside its dots: joined by shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = [[*{w.lower() for w in ASKED.findall(t)}] for t in batch.column(1).to_pylist()]
+            asked = [[*{w.lower() for w in ASKED.findall(t)} | {w.lower() for w in DOTTED.findall(t)}] for t in batch.column(1).to_pylist()]
             index = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array([w for x in asked for w in x], pa.string())], names=["digest", "word"])
 
     texts = df.select(F.col(column).cast("string").alias("text")).where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
-    return texts.mapInArrow(run, "digest string, word string").distinct().join(openers, "word").groupBy("digest").agg(F.collect_list("word").alias("openers"))
+    asked = texts.mapInArrow(run, "digest string, word string").distinct()
+    return asked.join(known.hint("merge"), "word").groupBy("digest").agg(F.collect_list(F.struct("word", "abbreviation", "title", "opener")).alias("known"))
 
 
 def sentences(df: DataFrame, key: str, column: str, corpus: frozenset[str] | None = None) -> DataFrame:
     """Key, start_char, end_char (code points, end exclusive) of every sentence of every text.
 
     Together the sentences of a text cover all but white space. Null, empty and blank texts have none; repeated rows
-    repeat theirs; other columns are not read. ``corpus`` are known abbreviations; by default they are counted first.
-    Opening words are always counted over the corpus, and broadcast if they are small, else joined to their texts.
+    repeat theirs; other columns are not read. ``corpus`` are known abbreviations; by default they are counted first,
+    as opening words always are, in one pass over all texts. That evidence is broadcast if it is small, else joined to
+    its texts.
     """
-    known = corpus_abbreviations(df, column) if corpus is None else corpus
-    openers = checkpoint(opening_words(df, column))
-    joined = (openers.agg(F.sum(F.length("word") + 24)).first()[0] or 0) > BROADCAST_BYTES
-    shared = df.sparkSession.sparkContext.broadcast((known, frozenset() if joined else frozenset(r[0] for r in openers.collect())))
+    known = checkpoint(corpus_evidence(df, column))
+    joined = (known.agg(F.sum(F.length("word") * 4 + 24)).first()[0] or 0) > BROADCAST_BYTES
+
+    def split(rows) -> tuple[Collection[str], frozenset[str]]:
+        own = {w: title for w, abbreviation, title, _ in rows if abbreviation} if corpus is None else corpus
+        return own, frozenset(w for w, _, _, opener in rows if opener)
+
+    shared = df.sparkSession.sparkContext.broadcast(split([] if joined else [tuple(r) for r in known.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                corpus, common = shared.value
                 if joined:
-                    found = [spans(t, corpus, frozenset(w or ())) for t, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                    found = [spans(t, *split([tuple(x.values()) for x in w or ()])) for t, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 else:
-                    found = [spans(t, corpus, common) for t in part.column(1).to_pylist()]
+                    found = [spans(t, *shared.value) for t in part.column(1).to_pylist()]
                 index = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 flat = np.array([x for row in found for x in row], np.int32).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index, pa.int64())), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["key", "start_char", "end_char"])
 
     plain = df.select(F.col(key).alias("key"), F.col(column).cast("string").alias("text"))
     if joined:
-        plain = plain.withColumn("digest", F.sha2("text", 256)).join(_openers_by_text(df, column, openers), "digest", "left").select("key", "text", "openers")
+        plain = plain.withColumn("digest", F.sha2("text", 256)).join(_evidence_by_text(df, column, known), "digest", "left").select("key", "text", "known")
     return plain.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, start_char int, end_char int").withColumnRenamed("key", key)
