@@ -59,7 +59,7 @@ AMID = regex.compile(r"(?<=[\p{Ll},][^\S\r\n])\p{Lu}[\p{L}\p{M}\p{N}]*")
 TITLED = regex.compile(r"(?<![\p{L}\p{M}\p{N}.@/-])(\p{L}[\p{L}\p{M}]*+)\.[^\S\r\n](\p{Lu}[\p{L}\p{M}\p{N}]*+)")
 #: A corpus abbreviation has this many unambiguous dots at least, and more than occurrences without a dot. Of those,
 #: titles are the ones that stand before a word known in small letters at most once in so many capitalised words.
-#: A word that hardly ever stands without a dot, and so many times before capitalised words none of which its document
+#: A word that hardly ever stands without a dot, and so many times (once a document) before capitalised words none of which its document
 #: knows in small letters, is one as well.
 LEAST_DOTS, TITLE_RARELY, LEAST_TITLED = 3, 20, 8
 #: Letters of a word that its own document can show to be an abbreviation; a longer one takes the corpus.
@@ -368,8 +368,9 @@ def corpus_evidence(df: DataFrame, column: str) -> DataFrame:
                 add(small, 2)
                 add(Counter(w.lower() for w in AMID.findall(text)), 3)
                 add(Counter(w.lower() for w in ASKED.findall(text)), 4)
-                for (left, right), n in Counter(TITLED.findall(text)).items():
-                    add(Counter({left.lower(): n}), 5 if right.lower() in small else 6)
+                pairs = {(left.lower(), right.lower()) for left, right in TITLED.findall(text)}  # a pair once a document
+                add(Counter(left for left, right in pairs if right in small), 5)
+                add(Counter(left for left, right in pairs if right not in small), 6)
                 if len(counts) > 200_000:
                     yield flush()
         yield flush()
