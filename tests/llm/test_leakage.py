@@ -51,14 +51,39 @@ def test_found(spark):
         assert L.leaks(empty, "doc_id", "text", right.limit(0), "item_id", "text").count() == 0
 
 
-def test_recall_with_edits():
-    items, docs = [words(12) for _ in range(60)], []
-    for w in items:
-        changed = list(w)
-        k = random.randrange(12)
-        changed[k] = "zz"
-        docs.append(words(20) + changed + words(20))
-    block = L.Items([*range(60)], [" ".join(w) for w in items], 12, 1, 0.99)
-    found = block.found(docs)
-    assert sum(i in f for i, f in enumerate(found)) >= 0.9 * 60
-    assert all(L.edit_distance(items[i], d[k : k + 12], 1) <= 1 for f, d in zip(found, docs) for i in f for k in [min(range(len(d) - 11), key=lambda k: L.edit_distance(items[i], d[k : k + 12], 12))])
+def test_recall_with_edits(spark):
+    """Random substitutions, insertions and deletions within the bound, against edit distance itself."""
+    for edits in (1, 2, 3):
+        rng = np.random.default_rng(edits)
+        items, docs = [(i, " ".join(words(12))) for i in range(60)], []
+        for i, text in items:
+            w, left = text.split(), edits
+            while left:
+                k = int(rng.integers(0, len(w)))
+                if left >= 2 and rng.random() < 0.6:
+                    w.insert(k, f"zz{left}")
+                    del w[int(rng.integers(0, len(w)))]
+                    left -= 2
+                else:
+                    w[k] = f"yy{left}"
+                    left -= 1
+            assert L.edit_distance(text.split(), w, edits) <= edits
+            docs.append((i, " ".join(words(20) + w + words(20))))
+        left, right = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+        got = {tuple(r) for r in L.leaks(left, "doc_id", "text", right, "item_id", "text", max_edits=edits, recall=0.95).collect()}
+        assert sum((i, i) in got for i in range(60)) >= 0.9 * 60, edits
+        texts, tokens = dict(docs), dict(items)
+        for d, i in got:
+            w = texts[d].split()
+            assert min(L.edit_distance(tokens[i].split(), w[k : k + 12], edits) for k in range(len(w) - 11)) <= edits
+
+
+def test_many_items(spark, monkeypatch):
+    """A join by shuffle gives the same."""
+    items = [(i, " ".join(words(20))) for i in range(50)]
+    docs = [(i, " ".join(words(9) + t.split()[4:18])) for i, t in items if i % 2]
+    left, right = spark.createDataFrame(docs, "d string, t string"), spark.createDataFrame(items, "i bigint, t string")
+    want = {(str(i), i) for i, _ in docs}
+    for windows in (L.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(L, "BROADCAST_WINDOWS", windows)
+        assert {tuple(r) for r in L.leaks(left, "d", "t", right, "i", "t").collect()} == want

@@ -3,16 +3,17 @@
 Every run of ``words`` consecutive words of a test item is a window, and so is every such run of a document. The CGK
 embedding walks through a window with a pointer that a random bit of (step, word) moves on or not; edit distance in
 words becomes Hamming distance between walks. Places of the walk are sampled as the bits of a locality-sensitive
-hash, again and again with other walks, until pairs within ``max_edits`` collide with the wanted recall. Equal windows
-collide always, so at ``max_edits=0`` one walk finds all of them. Candidates are verified by exact edit distance.
+hash, again and again with other walks, until pairs within ``max_edits`` collide with the wanted recall, which is
+measured on random edits before the search. Equal windows collide always. Candidates are verified by exact edit
+distance.
 
-The test items are a stated query set: they are taken in blocks of bounded size, each block is sent to all workers and
-every document is read against it. Nothing of the corpus is shuffled.
+Documents are read once, however many items there are: a filter of fixed size of the items' keys is sent to all
+workers, the few windows of documents that pass it are joined to the items' windows by key, and no item comes to the
+driver.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,10 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.session import checkpoint
+
 WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Variation_Selector}\u034f\u115f\u1160\u17b4\u17b5]+")
-#: Windows of test items sent to the workers at once (about 24 bytes each).
-BLOCK_WINDOWS = 1_000_000
+#: Bits of the filter of item keys, in chunks; each key sets two.
+FILTER_BITS, CHUNK_BITS = 1 << 26, 1 << 16
+#: Up to so many windows of items are broadcast to the documents' windows, counted first; more are joined by shuffle.
+BROADCAST_WINDOWS = 100_000
+#: Walks at most, and places of each at least; pairs and seed of the calibration.
+MOST_WALKS, LEAST_PLACES, PAIRS = 24, 4, 400
+#: Places sampled when windows must be equal: enough to tell most apart, the rest is left to the verification.
+EQUAL_PLACES = 16
 #: Windows of documents walked at once.
 STEP = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -52,14 +61,46 @@ def symbols(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_symbol, words), np.uint64, len(words))
 
 
+def edited(window: np.ndarray, edits: int, random: np.random.Generator) -> np.ndarray:
+    """A window of the same length within ``edits`` edits: substitutions, and insertions with deletions."""
+    out = list(window)
+    left = edits
+    while left:
+        fresh = np.uint64(random.integers(1, 1 << 63))
+        if left >= 2 and random.random() < 0.5:
+            out.insert(random.integers(0, len(out) + 1), fresh)
+            del out[random.integers(0, len(out))]
+            left -= 2
+        else:
+            out[random.integers(0, len(out))] = fresh
+            left -= 1
+    return np.array(out, np.uint64)
+
+
+@lru_cache
 def plan(words: int, max_edits: int, recall: float) -> tuple[int, int]:
-    """(walks, sampled places): a place of two walks at edit distance e agrees with about 1 - 4e/(3·words) or more."""
-    length = 3 * words
+    """(walks, sampled places) by which random windows within ``max_edits`` collide with the recall, measured here.
+
+    Of the numbers of places that reach it within ``MOST_WALKS`` walks the most selective is taken; if none does, the
+    fewest places with all walks.
+    """
     if max_edits == 0:
-        return 1, length
-    agree = max(0.35, 1 - 4 * max_edits / length)
-    places = max(4, min(length, round(math.log(0.25) / math.log(agree))))
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**places)), places
+        return 1, min(3 * words, EQUAL_PLACES)
+    random = np.random.default_rng(104_729)
+    windows = random.integers(1, 1 << 63, (PAIRS, words), dtype=np.uint64)
+    others = np.stack([edited(w, max_edits, random) for w in windows])
+    both = np.concatenate([windows.ravel(), others.ravel()])
+    starts = np.arange(2 * PAIRS) * words
+    for places in range(3 * words, LEAST_PLACES - 1, -1):
+        met = np.zeros(PAIRS, bool)
+        for walk in range(MOST_WALKS):
+            keys = window_keys(both, starts, words, walk, places)
+            met |= keys[:PAIRS] == keys[PAIRS:]
+            if met.mean() >= recall + (1 - recall) / 2:
+                return walk + 1, places
+            if walk == 7 and met.mean() < recall / 4:
+                break  # hopeless with so many places
+    return MOST_WALKS, LEAST_PLACES
 
 
 def window_keys(sequence: np.ndarray, starts: np.ndarray, words: int, walk: int, places: int) -> np.ndarray:
@@ -69,11 +110,12 @@ def window_keys(sequence: np.ndarray, starts: np.ndarray, words: int, walk: int,
     factors = random.integers(1, 1 << 63, length, dtype=np.uint64) | np.uint64(1)
     sampled = np.zeros(length, bool)
     sampled[random.permutation(length)[:places]] = True
+    last = int(np.flatnonzero(sampled)[-1]) + 1
     padded = np.append(sequence, np.uint64(0))
     pointer = starts.astype(np.int64)
     stop = pointer + words
     key = np.full(len(starts), np.uint64(walk + 1))
-    for step in range(length):
+    for step in range(last):
         inside = pointer < stop
         symbol = np.where(inside, padded[np.minimum(pointer, len(sequence))], np.uint64(0))
         if sampled[step]:
@@ -99,79 +141,100 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return row[-1]
 
 
-class Items:
-    """A block of test items with the sorted window keys of every walk."""
-
-    def __init__(self, ids: list, texts: list[str | None], words: int, max_edits: int, recall: float):
-        self.words, self.max_edits = words, max_edits
-        self.walks, self.places = plan(words, max_edits, recall)
-        self.ids = ids
-        self.tokens = [words_of(t) for t in texts]
-        sequence = symbols([w for t in self.tokens for w in t])
-        bounds = np.cumsum([0] + [len(t) for t in self.tokens])
-        self.owner = np.concatenate([np.full(max(0, len(t) - words + 1), i) for i, t in enumerate(self.tokens)] or [np.zeros(0, int)]).astype(np.int64)
-        self.place = np.concatenate([np.arange(max(0, len(t) - words + 1)) for t in self.tokens] or [np.zeros(0, int)]).astype(np.int64)
-        starts = bounds[self.owner] + self.place if len(self.owner) else np.zeros(0, np.int64)
-        self.keys, self.order = [], []
-        for walk in range(self.walks):
-            keys = window_keys(sequence, starts, words, walk, self.places)
-            order = np.argsort(keys, kind="stable")
-            self.keys.append(keys[order])
-            self.order.append(order)
-
-    def found(self, documents: list[list[str]]) -> list[list]:
-        """For each document, the ids of the items with a window within ``max_edits`` of one of its windows."""
-        hits: list[dict] = [{} for _ in documents]
-        counts = np.array([max(0, len(d) - self.words + 1) for d in documents], np.int64)
-        if not counts.sum() or not len(self.owner):
-            return [[] for _ in documents]
-        bounds = np.cumsum([0] + [len(d) for d in documents])
-        sequence = symbols([w for d in documents for w in d])
-        owner = np.repeat(np.arange(len(documents)), counts)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = bounds[owner] + place
-        for at in range(0, len(starts), STEP):
-            for walk, (keys, order) in enumerate(zip(self.keys, self.order)):
-                own = window_keys(sequence, starts[at : at + STEP], self.words, walk, self.places)
-                low = np.searchsorted(keys, own, "left")
-                high = np.searchsorted(keys, own, "right")
-                for w in np.flatnonzero(high > low):
-                    d, p = owner[at + w], place[at + w]
-                    window = documents[d][p : p + self.words]
-                    for k in order[low[w] : high[w]]:
-                        item = self.owner[k]
-                        if item not in hits[d] and edit_distance(window, self.tokens[item][self.place[k] : self.place[k] + self.words], self.max_edits) <= self.max_edits:
-                            hits[d][item] = None
-        return [[self.ids[i] for i in h] for h in hits]
+def _windows(tokens: list[list[str]], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence of all symbols, owner, place, start in the sequence) of the windows of some texts."""
+    counts = np.array([max(0, len(t) - words + 1) for t in tokens], np.int64)
+    bounds = np.cumsum([0] + [len(t) for t in tokens])
+    owner = np.repeat(np.arange(len(tokens)), counts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return symbols([w for t in tokens for w in t]), owner, place, bounds[owner] + place
+
+
+def _places_in_filter(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(((keys * np.uint64(f)) >> np.uint64(38)) & np.uint64(FILTER_BITS - 1) for f in (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+
+
+def _item_windows(words: int, walks: int, places: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                tokens = [words_of(t) for t in part.column(1).to_pylist()]
+                sequence, owner, place, starts = _windows(tokens, words)
+                runs = pa.array([" ".join(tokens[o][p : p + words]) for o, p in zip(owner, place)], pa.string())
+                ids = part.column(0).take(pa.array(owner))
+                for walk in range(walks):
+                    yield pa.RecordBatch.from_arrays([pa.array(window_keys(sequence, starts, words, walk, places).astype(np.int64)), ids, runs], names=["key", "item", "run"])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The touched chunks of the filter that the keys of a task make."""
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        for at in _places_in_filter(batch.column(0).to_numpy().astype(np.uint64)):
+            bits[at.astype(np.int64)] = True
+    rows = bits.reshape(-1, CHUNK_BITS)
+    touched = np.flatnonzero(rows.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int64()), pa.array([np.packbits(rows[i], bitorder="little").tobytes() for i in touched], pa.binary())], names=["chunk", "bits"])
+
+
+def _united(table: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def key_filter(keyed: DataFrame) -> np.ndarray:
+    """The bits of the filter of ``key``, united chunk by chunk; at most ``FILTER_BITS`` of them reach the driver."""
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    step = CHUNK_BITS // 8
+    schema = "chunk bigint, bits binary"
+    for chunk, bits in keyed.select("key").mapInArrow(_chunks, schema).groupBy("chunk").applyInArrow(_united, schema).collect():
+        out[chunk * step : (chunk + 1) * step] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def leaks(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, words: int = 12, max_edits: int = 0, recall: float = 0.99) -> DataFrame:
-    """(doc_key, item_key) for every document and test item with a common run of ``words`` words (up to ``max_edits``).
+    """Distinct (doc_key, item_key) of every document and test item with a common run of ``words`` words.
 
-    Null and empty texts, and texts of fewer words than a window, match nothing. Repeated rows repeat their pairs;
-    an item found by several windows gives one row per document row. Other columns are not read.
+    With ``max_edits`` the two runs may differ by so many substitutions, insertions and deletions. Null and empty texts,
+    and texts of fewer words than a window, match nothing; repeated rows and items found by several windows give one row.
+    Other columns are not read.
     """
-    spark = documents.sparkSession
+    walks, places = plan(words, max_edits, recall)
     doc_type, item_type = documents.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     source = items.select(F.col(item_key).alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
-    size = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / 4 / BLOCK_WINDOWS))  # a word has hardly less than four characters, space included
+    known = checkpoint(source.mapInArrow(_item_windows(words, walks, places), f"key bigint, item {item_type}, run string"))
+    shared = documents.sparkSession.sparkContext.broadcast(key_filter(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                tokens = [words_of(t) for t in part.column(1).to_pylist()]
+                sequence, owner, place, starts = _windows(tokens, words)
+                for low in range(0, len(starts), STEP):
+                    some = slice(low, low + STEP)
+                    for walk in range(walks):
+                        keys = window_keys(sequence, starts[some], words, walk, places)
+                        hit = np.ones(len(keys), bool)
+                        for spot in _places_in_filter(keys):
+                            hit &= (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        hit = np.flatnonzero(hit)
+                        own, spots = owner[some][hit], place[some][hit]
+                        runs = [" ".join(tokens[o][p : p + words]) for o, p in zip(own, spots)]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(keys[hit].astype(np.int64)), pa.array(runs, pa.string())], names=["doc", "key", "window"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [edit_distance(a.split(" "), b.split(" "), max_edits) <= max_edits for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["doc", "item"]).filter(pa.array(near, pa.bool_()))
+
     plain = documents.select(F.col(doc_key).alias("doc"), F.col(doc_text).cast("string").alias("text")).where("text is not null")
-    out = None
-    for block in range(blocks):
-        rows = source.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Items(*shared.value, words, max_edits, recall)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    found = known.found([words_of(t) for t in part.column(1).to_pylist()])
-                    index = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(index), pa.array([x for f in found for x in f], item_arrow)], names=["doc", "item"])
-
-        item_arrow = pa.array([r[0] for r in rows]).type if rows else pa.int64()
-        part = plain.mapInArrow(run, f"doc {doc_type}, item {item_type}")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("doc", doc_key).withColumnRenamed("item", item_key)
+    seen = plain.mapInArrow(run, f"doc {doc_type}, key bigint, window string")
+    few = known.count() <= BROADCAST_WINDOWS
+    joined = seen.join(F.broadcast(known) if few else known.hint("merge"), "key").select("doc", "item", "window", "run")
+    found = joined.mapInArrow(verified, f"doc {doc_type}, item {item_type}").distinct()
+    return found.withColumnRenamed("doc", doc_key).withColumnRenamed("item", item_key)
