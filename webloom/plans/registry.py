@@ -444,47 +444,47 @@ def book_prices(s, d):
 # html, crawl, sitemap and book pages on inline inputs
 
 
-@query("html_links", "SELECT * FROM (VALUES ('https://e.test/dir/p', 0, 'https://e.test/relative'), ('https://e.test/dir/p', 1, 'https://other.test/x?a=1&b=2'), ('https://e.test/dir/p', 2, 'https://e.test/up')) t(url, pos, link)")
+@query("html_links", "SELECT * FROM (VALUES ('https://loom.test/shelf/one', 0, 'https://loom.test/parts'), ('https://loom.test/shelf/one', 1, 'https://mill.test/wick?w=2&c=7'), ('https://loom.test/shelf/one', 2, 'https://loom.test/index')) t(url, pos, link)")
 def html_links(s, d):
     return html.parse_pages(fixtures.pages(s)).select("url", F.posexplode("links").alias("pos", "link"))
 
 
-@query("html_pages", "SELECT * FROM (VALUES ('https://e.test/dir/p', 'Test Page', 'A test description', 'test, html', 3, 2, 2, 2, NULL), ('https://e.test/empty', NULL, NULL, NULL, 0, 0, 0, 0, 'Empty HTML string received'), ('https://e.test/null', NULL, NULL, NULL, 0, 0, 0, 0, 'Empty HTML string received'), ('https://e.test/bad', NULL, NULL, NULL, 0, 0, 0, 0, NULL)) t(url, title, description, keywords, links_count, images_count, tables_count, lists_count, error)")
+@query("html_pages", "SELECT * FROM (VALUES ('https://loom.test/shelf/one', 'Lantern repair', 'How a storm lantern is taken apart', 'wick, brass', 3, 2, 2, 2, NULL), ('https://loom.test/blank', NULL, NULL, NULL, 0, 0, 0, 0, 'Empty HTML string received'), ('https://loom.test/none', NULL, NULL, NULL, 0, 0, 0, 0, 'Empty HTML string received'), ('https://loom.test/odd', NULL, NULL, NULL, 0, 0, 0, 0, NULL)) t(url, title, description, keywords, links_count, images_count, tables_count, lists_count, error)")
 def html_pages(s, d):
     return html.parse_pages(fixtures.pages(s)).select("url", "title", "metadata.description", "metadata.keywords", "links_count", "images_count", "tables_count", "lists_count", "error")
 
 
-@query("html_text", "SELECT 'https://e.test/dir/p' AS url, 'Test Page Main Heading Sub Hello world & all r o again m t u h1 h2 1 2 in one two a' AS text")
+@query("html_text", "SELECT 'https://loom.test/shelf/one' AS url, 'Lantern repair Taking apart Tools Rag oil & pliers p w p2 write e i part size cap 12 inner clean dry slowly' AS text")
 def html_text(s, d):
     return html.parse_pages(fixtures.pages(s)).where("links_count > 0").select("url", "text")
 
 
-@query("html_lists", "SELECT * FROM (VALUES (0, 'ul', 0, 'one'), (0, 'ul', 1, 'two a'), (1, 'ol', 0, 'a')) t(list, tag, pos, item)")
+@query("html_lists", "SELECT * FROM (VALUES (0, 'ul', 0, 'clean'), (0, 'ul', 1, 'dry slowly'), (1, 'ol', 0, 'slowly')) t(list, tag, pos, item)")
 def html_lists(s, d):
     lists = html.parse_pages(fixtures.pages(s)).select(F.posexplode("lists").alias("list", "l"))
     return lists.select("list", "l.tag", F.posexplode("l.items").alias("pos", "item"))
 
 
-@query("html_tables", "SELECT * FROM (VALUES (0, 'h1|h2', 0, '1|2'), (0, 'h1|h2', 1, 'in|in'), (0, 'h1|h2', 2, 'in'), (1, '', 0, 'in')) t(tbl, headers, pos, cells)")
+@query("html_tables", "SELECT * FROM (VALUES (0, 'part|size', 0, 'cap|12'), (0, 'part|size', 1, 'inner|inner'), (0, 'part|size', 2, 'inner'), (1, '', 0, 'inner')) t(tbl, headers, pos, cells)")
 def html_tables(s, d):
     tables = html.parse_pages(fixtures.pages(s)).select(F.posexplode("tables").alias("tbl", "t"))
     return tables.select("tbl", F.array_join("t.headers", "|").alias("headers"), F.posexplode("t.rows").alias("pos", "row")).select("tbl", "headers", "pos", F.array_join("row", "|").alias("cells"))
 
 
-@query("html_images", "SELECT * FROM (VALUES (0, 'https://e.test/i.png', 'A photo'), (1, 'https://cdn.test/j.png', '')) t(pos, src, alt)")
+@query("html_images", "SELECT * FROM (VALUES (0, 'https://loom.test/glass.png', 'Cracked glass'), (1, 'https://pics.test/burner.png', '')) t(pos, src, alt)")
 def html_images(s, d):
     return html.parse_pages(fixtures.pages(s)).select(F.posexplode("images").alias("pos", "i")).select("pos", "i.src", "i.alt")
 
 
-SEEDS = ["https://alpha.test/", "https://beta.test/"]
+SEEDS = ["https://quay.test/", "https://isle.test/"]
 
 
-@query("crawl_site", "SELECT * FROM (VALUES ('https://alpha.test/', 0, true, NULL), ('https://beta.test/', 0, true, NULL), ('https://alpha.test/a', 1, true, NULL), ('https://alpha.test/gone', 1, false, 'HTTP 404: not in corpus'), ('https://beta.test/b', 1, true, NULL), ('https://alpha.test/deep', 2, true, NULL), ('https://beta.test/private/x', 2, false, 'blocked by robots.txt')) t(url, depth, ok, error)")
+@query("crawl_site", "SELECT * FROM (VALUES ('https://quay.test/', 0, true, NULL), ('https://isle.test/', 0, true, NULL), ('https://quay.test/boats', 1, true, NULL), ('https://quay.test/sunk', 1, false, 'HTTP 404: not in corpus'), ('https://isle.test/goats', 1, true, NULL), ('https://quay.test/oars', 2, true, NULL), ('https://isle.test/fenced/kid', 2, false, 'blocked by robots.txt')) t(url, depth, ok, error)")
 def crawl_site(s, d):
     return crawl(s, SEEDS, fixtures.site(s), 100, 2, robots=fixtures.site_robots(s)).select("url", "depth", "ok", "error")
 
 
-@query("crawl_page_cap", "SELECT * FROM (VALUES ('https://alpha.test/', 0), ('https://beta.test/', 0), ('https://alpha.test/a', 1), ('https://alpha.test/gone', 1)) t(url, depth)")
+@query("crawl_page_cap", "SELECT * FROM (VALUES ('https://quay.test/', 0), ('https://isle.test/', 0), ('https://quay.test/boats', 1), ('https://quay.test/sunk', 1)) t(url, depth)")
 def crawl_page_cap(s, d):
     return crawl(s, SEEDS, fixtures.site(s), 4, 3).select("url", "depth")
 
@@ -496,13 +496,13 @@ def sitemap_pages(s, d):
     return found.orderBy("path").coalesce(1).select((F.monotonically_increasing_id() + 1).cast("int").alias("place"), "url")
 
 
-@query("book_listing", "SELECT * FROM (VALUES (0, 'https://books.test/b1_1/index.html', 'https://books.test/catalogue/page-2.html'), (1, 'https://books.test/catalogue/b2_2/index.html', 'https://books.test/catalogue/page-2.html')) t(pos, book, next)")
+@query("book_listing", "SELECT * FROM (VALUES (0, 'https://pier.test/tides_7/index.html', 'https://pier.test/catalogue/page-2.html'), (1, 'https://pier.test/catalogue/ropes_9/index.html', 'https://pier.test/catalogue/page-2.html')) t(pos, book, next)")
 def book_listing(s, d):
     rows = fixtures.books(s).withColumn("next", books.next_url(F.col("html"), F.col("url")))
     return rows.select("next", F.posexplode(books.listing_urls(F.col("html"), F.col("url"))).alias("pos", "book")).select("pos", "book", "next")
 
 
-@query("book_details", "SELECT * FROM (VALUES ('https://books.test/catalogue/b1_1/index.html', 'A Light', 'a897', '£51.77', 'Three', 'Poetry'), ('https://books.test/catalogue/broken', 'Broken Book', NULL, NULL, NULL, NULL)) t(url, title, upc, price_excl_tax, rating, genre)")
+@query("book_details", "SELECT * FROM (VALUES ('https://pier.test/catalogue/tides_7/index.html', 'Tides for Cooks', 'c0ffee77', '£8.05', 'Four', 'Seafaring'), ('https://pier.test/catalogue/torn', 'Torn cover', NULL, NULL, NULL, NULL)) t(url, title, upc, price_excl_tax, rating, genre)")
 def book_details(s, d):
     b = fixtures.books(s).where("url not like '%page-%'").select(books.book_record(F.col("html"), F.col("url")).alias("b"))
     return b.select("b.url", "b.title", "b.upc", "b.price_excl_tax", "b.rating", "b.genre")
