@@ -23,6 +23,11 @@ def is_valid_url(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).isin("http", "https") & (netloc(url) != ""), F.lit(False))
 
 
+def path_tail(url: Column) -> Column:
+    """What stands after the last slash of a URL; the whole text where there is none."""
+    return F.element_at(F.split(url, "/"), -1)
+
+
 def is_skipped_href(href: Column) -> Column:
     """Hrefs that are no link to a page; case-sensitive."""
     test = href == ""
@@ -86,7 +91,8 @@ def shorten(value: Column, length: int, mark: str = "...") -> Column:
 
 
 def kilobytes(length: Column) -> Column:
-    return F.concat(F.format_number(length / 1024, 1), F.lit(" KB"))
+    """Kilobytes with one decimal and no separators of thousands."""
+    return F.concat(F.replace(F.format_number(length / 1024, 1), F.lit(","), F.lit("")), F.lit(" KB"))
 
 
 def safe_divide(a: Column, b: Column) -> Column:

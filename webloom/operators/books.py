@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from webloom.operators.html import Node, parse_tree
+from webloom.operators.stats import beside, counts_text, top
 from webloom.schema import BOOK
 
 # The header of each product field.
@@ -109,6 +110,15 @@ def rating_counts(books: DataFrame) -> DataFrame:
     return books.distinct().where("rating is not null").groupBy("rating").agg(F.count("*").alias("books"))
 
 
+def scrape_stats(books: DataFrame, failed: DataFrame, top_k: int = 5) -> DataFrame:
+    """One row on a scrape: books and failures, genres found, the most frequent genres and the ratings as texts."""
+    totals = books.agg(F.count("*").alias("total_scraped"), F.count_distinct("genre").alias("genres_found"))
+    lost = failed.agg(F.count("*").alias("total_failed"))
+    genres = counts_text(top(genre_counts(books), "genre", "books", top_k), "genre", "books", "top_genres")
+    ratings = counts_text(rating_counts(books), "rating", "books", "rating_distribution")
+    return beside(totals, lost, genres, ratings)
+
+
 def follow_listing(corpus: DataFrame, start: str, max_books: int) -> list[str]:
     """Book urls by following next links from a listing page until enough are found; first occurrences, trimmed.
 

@@ -40,6 +40,24 @@ def frontier_stats(latest: DataFrame) -> DataFrame:
     return latest.agg(count("pending", "processing").alias("pending"), count("visited").alias("visited"), count("failed").alias("failed"), F.count("*").alias("total_seen"))
 
 
+def pop(frontier: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """(the next urls, the frontier after they were taken): what is taken is being processed from then on."""
+    taken = next_urls(frontier, count)
+    once = first_added(frontier).join(taken.select("url", F.lit(True).alias("taken")), "url", "left")
+    return taken, once.withColumn("state", F.when(F.col("taken"), "processing").otherwise(F.col("state"))).drop("taken")
+
+
+def depths(urls: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Each url with its depth in the frontier, 0 where it is unknown."""
+    known = first_added(frontier).select("url", F.col("depth").alias("known"))
+    return urls.join(known, "url", "left").withColumn("depth", F.coalesce("known", F.lit(0))).drop("known")
+
+
+def pending_count(latest: DataFrame) -> DataFrame:
+    """One row: the urls still waiting, without those being processed."""
+    return latest.agg(F.count_if(F.col("state") == "pending").alias("pending"))
+
+
 def matches(url: Column, seed_domains: Iterable[str] | None = None, exclude: Iterable[str] = (), include: Iterable[str] = ()) -> Column:
     """Whether a url passes the domain, exclude and include filters (patterns are searched anywhere)."""
     test = F.lit(True)
@@ -58,7 +76,7 @@ def matches(url: Column, seed_domains: Iterable[str] | None = None, exclude: Ite
 
 def unknown(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates whose url is not known yet."""
-    return candidates.join(known.select("url").distinct(), "url", "left_anti")
+    return candidates.join(known.select("url"), "url", "left_anti")
 
 
 def ordered_distinct(df: DataFrame, column: str, order: str) -> DataFrame:

@@ -44,6 +44,25 @@ def wait_before(error_type: Column, text: Column, attempt: Column, base: float =
     return F.when((error_type == "TransientError") & text.contains("429"), F.greatest(plain, F.lit(penalty))).otherwise(plain)
 
 
+def attempts(outcomes: DataFrame, max_retries: int = 3) -> DataFrame:
+    """The attempts a retry loop makes of those in ``outcomes``, typed; a success has the type ``ok``."""
+    asked = outcomes.where(F.col("attempt") <= max_retries + 1).groupBy("url", "attempt").agg(F.min(F.struct("message", "kind", "status")).alias("o")).select("url", "attempt", "o.*")
+    typed = asked.withColumn("error_type", F.when(F.coalesce(F.col("kind"), F.lit("")) == "ok", "ok").otherwise(classify(F.col("kind"), F.col("status")))).withColumn("text", message(F.col("kind"), F.col("status"), F.col("message")))
+    stops = (F.col("error_type") == "ok") | ~should_retry(F.col("error_type"))
+    before = Window.partitionBy("url").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    return typed.withColumn("stopped", F.coalesce(F.max(stops.cast("int")).over(before), F.lit(0))).where("stopped = 0")
+
+
+def retry_totals(outcomes: DataFrame, max_retries: int = 3) -> DataFrame:
+    """One row: attempts made, errors among them, urls that failed first and then came, urls that failed for good."""
+    made = attempts(outcomes, max_retries)
+    good = F.col("error_type") == "ok"
+    return made.agg(
+        F.count("*").alias("total_attempts"), F.count_if(~good).alias("total_errors"), F.count_if(good & (F.col("attempt") > 1)).alias("successful_retries"),
+        F.count_distinct(F.when(F.col("error_type") == "PermanentError", F.col("url"))).alias("permanent_urls"),
+    )
+
+
 def simulate(outcomes: DataFrame, max_retries: int = 3, base: float = 1.0, factor: float = 2.0, longest: float = 60.0, penalty: float = 30.0) -> DataFrame:
     """The error log of a retry loop over (url, attempt from 1, kind, status, message).
 
@@ -52,11 +71,7 @@ def simulate(outcomes: DataFrame, max_retries: int = 3, base: float = 1.0, facto
     outcomes are never asked for. Per url the attempts are few (the loop's bound), so the window is small even for a
     hot url; attempts beyond the bound are dropped before it.
     """
-    asked = outcomes.where(F.col("attempt") <= max_retries + 1).groupBy("url", "attempt").agg(F.min(F.struct("message", "kind", "status")).alias("o")).select("url", "attempt", "o.*")
-    typed = asked.withColumn("error_type", F.when(F.coalesce(F.col("kind"), F.lit("")) == "ok", "ok").otherwise(classify(F.col("kind"), F.col("status")))).withColumn("text", message(F.col("kind"), F.col("status"), F.col("message")))
-    stops = (F.col("error_type") == "ok") | ~should_retry(F.col("error_type"))
-    before = Window.partitionBy("url").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
-    run = typed.withColumn("stopped", F.coalesce(F.max(stops.cast("int")).over(before), F.lit(0))).where("stopped = 0 and error_type <> 'ok'")
+    run = attempts(outcomes, max_retries).where("error_type <> 'ok'")
     last = ~should_retry(F.col("error_type")) | (F.col("attempt") > max_retries)
     return run.select("url", "attempt", "error_type", F.col("text").alias("message"), F.when(~last, wait_before(F.col("error_type"), F.col("text"), F.col("attempt"), base, factor, longest, penalty)).alias("next_retry_in"))
 

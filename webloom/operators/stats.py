@@ -38,6 +38,29 @@ def counts_as_map(counts: DataFrame, key: str, value: str) -> DataFrame:
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))).alias("counts"))
 
 
+def counts_text(counts: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """A small table of counts as one text, ``key=count`` in order of keys."""
+    pairs = F.array_sort(F.collect_list(F.concat_ws("=", F.col(key).cast("string"), F.col(value).cast("string"))))
+    return counts.agg(F.array_join(pairs, ", ").alias(name))
+
+
+def beside(*rows: DataFrame) -> DataFrame:
+    """Several tables of one row each as one row."""
+    out = rows[0].withColumn("_one", F.lit(1))
+    for row in rows[1:]:
+        out = out.join(row.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
+def full_summary(results: DataFrame, seconds: Column, top_k: int = 10) -> DataFrame:
+    """One row with the totals of ``summary``, the counts of statuses and error types, and the most frequent domains."""
+    good = results.where("success")
+    statuses = counts_text(status_counts(good, "status"), "status", "pages", "status_codes")
+    domains = counts_text(top(domain_counts(good), "domain", "pages", top_k), "domain", "pages", "top_domains")
+    errors = counts_text(error_counts(results.where(~F.col("success"))), "error_type", "failures", "error_types")
+    return beside(summary(results, seconds), statuses, domains, errors)
+
+
 def progress(visited: Column, failed: Column, queued: Column, max_pages: int, seconds: Column) -> dict[str, Column]:
     """The columns of a progress snapshot; the rest is unknown while nothing is done and zero when nothing is left."""
     completed = visited + failed

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.columns import AUTHORITY, bucket_key, content_type, falsy, falsy_number, http_status, is_valid_url, kilobytes, netloc, origin, shorten
+from webloom.functions.columns import AUTHORITY, bucket_key, content_type, falsy, falsy_number, http_status, is_valid_url, kilobytes, netloc, origin, path_tail, shorten
 from webloom.operators import books, fetch, frontier, html, limiter, records, retry, robots, stats
 from webloom.operators.nested import flatten
 from webloom.plans import fixtures
@@ -59,6 +59,11 @@ def bucket_keys(s, d):
     return table(s, d, "pages").select("id", bucket_key(F.col("url")).alias("bucket"))
 
 
+@query("url_tails", "SELECT id, split_part(url, '/', -1) AS tail FROM pages")
+def url_tails(s, d):
+    return table(s, d, "pages").select("id", path_tail(F.col("url")).alias("tail"))
+
+
 @query("domain_counts", f"SELECT {HOST} AS domain, count(*) AS pages FROM pages WHERE {HOST} <> '' GROUP BY 1")
 def domain_counts(s, d):
     return stats.domain_counts(table(s, d, "pages"))
@@ -133,6 +138,19 @@ def crawl_summary(s, d):
     return stats.summary(fetch.fetch_results(table(s, d, "fetch_results")), F.lit(60.0).cast("double"))
 
 
+TEXTS = "SELECT coalesce(string_agg(k || '=' || v, ', ' ORDER BY k || '=' || v), '') FROM"
+
+
+@query(
+    "crawl_summary_full",
+    f"WITH r AS (SELECT {STATUS} AS status, url, error, coalesce(elapsed, 0.0) AS elapsed, error IS NULL AND content IS NOT NULL AS ok FROM fetch_results) SELECT count(*) AS total_pages, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, 60.0::DOUBLE AS elapsed_seconds, round(count(*) / 60.0::DOUBLE, 2) AS pages_per_second, "
+    f"round(sum(elapsed) FILTER (ok) / count(*) FILTER (ok), 3) AS avg_fetch_time, ({TEXTS} (SELECT status AS k, count(*) AS v FROM r WHERE ok AND status IS NOT NULL AND status <> 0 GROUP BY 1)) AS status_codes, ({TEXTS} (SELECT {HOST} AS k, count(*) AS v FROM r WHERE ok AND {HOST} <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top_domains, "
+    f"({TEXTS} (SELECT CASE WHEN error IS NULL OR error = '' THEN 'Unknown' ELSE trim(split_part(error, ':', 1)) END AS k, count(*) AS v FROM r WHERE NOT ok GROUP BY 1)) AS error_types FROM r",
+)
+def crawl_summary_full(s, d):
+    return stats.full_summary(fetch.fetch_results(table(s, d, "fetch_results")), F.lit(60.0).cast("double"))
+
+
 @query("fetch_split", "SELECT count(*) FILTER (coalesce(error, '') = '') AS ok, count(*) FILTER (coalesce(error, '') <> '') AS failed FROM fetch_results")
 def fetch_split(s, d):
     good = F.coalesce("error", F.lit("")) == ""
@@ -170,6 +188,21 @@ def frontier_stats(s, d):
     return frontier.frontier_stats(frontier.states(table(s, d, "frontier")))
 
 
+@query("frontier_popped", f"SELECT url, priority, CASE WHEN state = 'pending' AND row_number() OVER (PARTITION BY state ORDER BY priority NULLS FIRST, added_at NULLS FIRST, url) <= 100 THEN 'processing' ELSE state END AS state FROM {FIRST}")
+def frontier_popped(s, d):
+    return frontier.pop(table(s, d, "frontier"), 100)[1].select("url", "priority", "state")
+
+
+@query("frontier_lookup", f"SELECT p.id, coalesce(f.depth, 0) AS depth FROM pages p LEFT JOIN {FIRST} f ON p.url = f.url")
+def frontier_lookup(s, d):
+    return frontier.depths(table(s, d, "pages").select("id", "url"), table(s, d, "frontier")).select("id", "depth")
+
+
+@query("frontier_pending", f"SELECT count(*) FILTER (state = 'pending') AS pending FROM {STATE}")
+def frontier_pending(s, d):
+    return frontier.pending_count(frontier.states(table(s, d, "frontier")))
+
+
 @query("frontier_depths", f"SELECT depth, count(*) AS urls FROM {FIRST} GROUP BY 1")
 def frontier_depths(s, d):
     return frontier.first_added(table(s, d, "frontier")).groupBy("depth").agg(F.count("*").alias("urls"))
@@ -266,6 +299,7 @@ SAID = (
     "CASE WHEN (kind = 'http' OR kind IS NULL) AND status IS NOT NULL THEN 'HTTP ' || status || ': ' || coalesce(message, '') WHEN kind = 'timeout' THEN 'Request timed out' WHEN kind = 'connector' THEN 'Connection failed: ' || coalesce(message, '') "
     "WHEN kind = 'client' THEN 'Network error: ' || coalesce(message, '') WHEN kind IN ('parse', 'permanent') THEN coalesce(message, '') ELSE 'Unknown error: ' || coalesce(message, '') END"
 )
+OUTCOME = f"CASE WHEN kind = 'ok' THEN 'ok' ELSE {TYPE} END"
 ASKED = f"SELECT url, attempt, {TYPE} AS error_type, {SAID} AS message FROM (SELECT * FROM retry_log WHERE attempt <= 4 QUALIFY row_number() OVER (PARTITION BY url, attempt ORDER BY message NULLS FIRST, kind NULLS FIRST, status NULLS FIRST) = 1)"
 RUN = f"SELECT * FROM (SELECT *, coalesce(max(CASE WHEN error_type IN ('TransientError', 'NetworkError') THEN 0 ELSE 1 END) OVER (PARTITION BY url ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM ({ASKED})) WHERE stopped = 0"
 LOG = f"SELECT url, attempt, error_type, message, CASE WHEN error_type IN ('TransientError', 'NetworkError') AND attempt <= 3 THEN CASE WHEN error_type = 'TransientError' AND contains(message, '429') THEN greatest(least(power(2.0::DOUBLE, attempt), 60.0::DOUBLE), 30.0::DOUBLE) ELSE least(power(2.0::DOUBLE, attempt), 60.0::DOUBLE) END END AS next_retry_in FROM ({RUN})"
@@ -286,6 +320,25 @@ def retry_stats(s, d):
     return retry.retry_stats(retry.simulate(table(s, d, "retry_log")))
 
 
+TOTALS = f"SELECT count(*) AS total_attempts, count(*) FILTER (error_type <> 'ok') AS total_errors, count(*) FILTER (error_type = 'ok' AND attempt > 1) AS successful_retries, count(DISTINCT url) FILTER (error_type = 'PermanentError') AS permanent_urls FROM ({RUN.replace(TYPE, OUTCOME)})"
+
+
+@query("retry_totals", TOTALS)
+def retry_totals(s, d):
+    return retry.retry_totals(table(s, d, "retry_log"))
+
+
+@query(
+    "crawl_stats",
+    f"SELECT q.*, w.total_waits, t.total_attempts, t.successful_retries FROM (SELECT count(*) FILTER (state IN ('pending', 'processing')) AS pending, count(*) FILTER (state = 'visited') AS visited, count(*) FILTER (state = 'failed') AS failed, count(*) AS total_seen FROM {STATE}) q, "
+    f"(SELECT count(*) FILTER (wait_us > 0) AS total_waits FROM ({WAITED})) w, ({TOTALS}) t",
+)
+def crawl_stats(s, d):
+    """The statistics of the queue, the limiter and the retries as one row."""
+    waits = limiter.limiter_stats(limiter.schedule(table(s, d, "arrivals"), 1.0)).select("total_waits")
+    return stats.beside(frontier_stats(s, d), waits, retry_totals(s, d).select("total_attempts", "successful_retries"))
+
+
 @query("backoff_schedule", "SELECT range AS attempt, least(power(2.0::DOUBLE, range), 60.0::DOUBLE) AS wait FROM range(10)")
 def backoff_schedule(s, d):
     return s.range(10).select(F.col("id").alias("attempt"), retry.backoff(F.col("id")).alias("wait"))
@@ -370,13 +423,27 @@ def csv_roundtrip(s, d):
     return back.select("id", F.coalesce("title", F.lit("")).alias("title"), F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")).alias("text"))
 
 
-@query("upsert_table", "SELECT url, max(crawled_at) AS crawled_at FROM pages GROUP BY url")
+def _in_two_writes(s, d, **options):
+    rows = table(s, d, "pages").select("url", "crawled_at", "id")
+    sink = sinks.TableSink(scratch(s, "table"), ["crawled_at", "id"], **options)
+    sink.write(rows.where("id % 3 <> 1"))
+    sink.write(rows.where("id % 3 = 1"))
+    return s.read.parquet(sink.path)
+
+
+LAST = "SELECT url, crawled_at, id FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY {}crawled_at DESC NULLS LAST, id DESC) = 1"
+
+
+@query("upsert_table", LAST.format("id % 3 = 1 DESC, "))
 def upsert_table(s, d):
-    rows = table(s, d, "pages").select("url", "crawled_at")
-    sink = sinks.TableSink(scratch(s, "table"))
-    sink.write(rows.where("crawled_at < '2025-06-01'"))
-    sink.write(rows.where("crawled_at >= '2025-06-01' or crawled_at is null"))
-    return records.upsert(s.read.parquet(sink.path).unionByName(rows), "url", ["crawled_at"])
+    """What the sink's table holds after two writes: the later write's row."""
+    return _in_two_writes(s, d)
+
+
+@query("upsert_table_newest", LAST.format(""))
+def upsert_table_newest(s, d):
+    """The same where the newest crawl counts, whenever it was written."""
+    return _in_two_writes(s, d, newest=True)
 
 
 @query("stream_new_urls", "SELECT DISTINCT url FROM frontier")

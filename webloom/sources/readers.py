@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +22,18 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, pages: DataFrame, statement: str, args=None, view: str = "pages") -> DataFrame:
-    """A query over the pages view; positional ``?`` or named parameters."""
-    pages.createOrReplaceTempView(view)
-    return spark.sql(statement, args=args)
+    """A query over the pages view; positional ``?`` or named parameters.
+
+    The view is the statement's own: other queries, however late they run, never see it.
+    """
+    own = f"{view}_{uuid.uuid4().hex}"
+    pages.createOrReplaceTempView(own)
+    try:
+        first = f"WITH {view} AS (SELECT * FROM {own})"
+        given = re.match(r"\s*WITH\s+(?!RECURSIVE\b)", statement, re.I)
+        return spark.sql(f"{first}, {statement[given.end() :]}" if given else f"{first} {statement}", args=args)
+    finally:
+        spark.catalog.dropTempView(own)
 
 
 def load_config(path: str) -> dict:

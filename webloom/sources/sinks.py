@@ -5,16 +5,18 @@ from __future__ import annotations
 import logging
 import sqlite3
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
-from typing import Protocol
+from typing import Protocol, TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webloom.operators.records import csv_projection, upsert
 
 log = logging.getLogger(__name__)
+T = TypeVar("T")
 
 # The stored table.
 DDL = (
@@ -30,7 +32,7 @@ class Sink(Protocol):
     def stats(self) -> dict: ...
 
 
-def with_retry(operation: Callable[[], None], label: str, attempts: int = 3, base: float = 0.2, factor: float = 2.0) -> None:
+def with_retry(operation: Callable[[], T], label: str, attempts: int = 3, base: float = 0.2, factor: float = 2.0) -> T:
     """Run an operation up to ``attempts`` times (at least once), waiting longer each time, then raise its error."""
     for k in range(max(1, attempts)):
         try:
@@ -42,6 +44,17 @@ def with_retry(operation: Callable[[], None], label: str, attempts: int = 3, bas
             time.sleep(base * factor**k)
 
 
+def counted(df: DataFrame, save: Callable[[DataFrame], None], label: str) -> int:
+    """Save rows, with retries, and tell how many there were; they are counted as they are written."""
+
+    def attempt() -> int:
+        seen = Observation()
+        save(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return seen.get["n"]
+
+    return with_retry(attempt, label)
+
+
 class JsonSink:
     """One object per line, appended; nulls are written."""
 
@@ -49,8 +62,7 @@ class JsonSink:
         self.path, self.saved = path, 0
 
     def write(self, df: DataFrame) -> None:
-        with_retry(lambda: df.write.mode("append").option("ignoreNullFields", "false").json(self.path), "json")
-        self.saved += 1
+        self.saved += counted(df, lambda rows: rows.write.mode("append").option("ignoreNullFields", "false").json(self.path), "json")
 
     def stats(self) -> dict:
         return {"format": "json", "file": self.path, "saved": self.saved}
@@ -63,33 +75,50 @@ class CsvSink:
         self.path, self.saved = path, 0
 
     def write(self, df: DataFrame) -> None:
-        flat = csv_projection(df)
-        with_retry(lambda: flat.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(self.path), "csv")
-        self.saved += 1
+        self.saved += counted(csv_projection(df), lambda rows: rows.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(self.path), "csv")
 
     def stats(self) -> dict:
         return {"format": "csv", "file": self.path, "saved": self.saved}
 
 
 class TableSink:
-    """The distributed upsert: the last row per url over what is there and what comes, written beside and swapped in."""
+    """The distributed upsert: one row per url over what is there and what comes, written beside and swapped in.
+
+    By default a row that is written later replaces an earlier one, as a keyed insert does; of rows written at once the
+    last by ``order`` counts. With ``newest`` the last by ``order`` counts always, so a late row of an older crawl
+    changes nothing. The old copy is kept until the new one is in place, and is put back by the next write if a crash
+    came in between.
+    """
 
-    def __init__(self, path: str, order: list[str] | None = None):
-        self.path, self.order, self.saved = path, order or ["crawled_at"], 0
+    def __init__(self, path: str, order: list[str] | None = None, newest: bool = False):
+        self.path, self.order, self.newest, self.saved = path.rstrip("/"), order or ["crawled_at"], newest, 0
 
     def write(self, df: DataFrame) -> None:
         spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        beside = spark._jvm.org.apache.hadoop.fs.Path(self.path + "-next")
-        rows = df.withColumn("_new", F.lit(1))
-        if fs.exists(hadoop):
-            rows = rows.unionByName(spark.read.parquet(self.path).withColumn("_new", F.lit(0)))
-        merged = upsert(rows, "url", ["_new", *self.order]).drop("_new")
-        with_retry(lambda: merged.write.mode("overwrite").parquet(self.path + "-next"), "table")
-        fs.delete(hadoop, True)
-        fs.rename(beside, hadoop)
-        self.saved += 1
+        place = lambda suffix="": spark._jvm.org.apache.hadoop.fs.Path(self.path + suffix)
+        fs = place().getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(place()) and fs.exists(place("-old")):
+            self._move(fs, place("-old"), place())
+        beside = f"-next-{uuid.uuid4().hex}"
+        order = [*self.order, "_new"] if self.newest else ["_new", *self.order]
+
+        def save(rows: DataFrame) -> None:
+            rows = rows.withColumn("_new", F.lit(1))
+            if fs.exists(place()):
+                rows = rows.unionByName(spark.read.parquet(self.path).withColumn("_new", F.lit(0)))
+            upsert(rows, "url", order).drop("_new").write.mode("overwrite").parquet(self.path + beside)
+
+        self.saved += counted(df, save, "table")
+        fs.delete(place("-old"), True)
+        if fs.exists(place()):
+            self._move(fs, place(), place("-old"))
+        self._move(fs, place(beside), place())
+        fs.delete(place("-old"), True)
+
+    @staticmethod
+    def _move(fs, source, target) -> None:
+        if not fs.rename(source, target):
+            raise OSError(f"cannot move {source} to {target}")
 
     def stats(self) -> dict:
         return {"format": "table", "file": self.path, "saved": self.saved}
