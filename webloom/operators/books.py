@@ -122,17 +122,20 @@ def scrape_stats(books: DataFrame, failed: DataFrame, top_k: int = 5) -> DataFra
 def follow_listing(corpus: DataFrame, start: str, max_books: int) -> list[str]:
     """Book urls by following next links from a listing page until enough are found; first occurrences, trimmed.
 
-    A pointer chase: one lookup per page on the driver, ended by ``max_books``, a repeated page or a missing one.
+    The listing pages of the start's host are parsed in one pass, each to its books and its next page; the walk then
+    goes over that small table, as many rows as the catalogue has listing pages, ended by ``max_books``, a repeated page
+    or a missing one.
     """
+    host = F.substring_index(F.lit(start), "/", 3)
+    pages = corpus.where(F.col("content").isNotNull() & F.col("url").startswith(host)).select("url", listing_urls(F.col("content"), F.col("url")).alias("books"), next_url(F.col("content"), F.col("url")).alias("next"))
+    lists = pages.where((F.size("books") > 0) | F.col("next").isNotNull() | (F.col("url") == start)).groupBy("url").agg(F.max(F.struct("books", "next")).alias("p"))
+    known = {r["url"]: r["p"] for r in lists.toLocalIterator()}
     found: dict[str, None] = {}
     url, seen = start, set()
-    while url and url not in seen and len(found) < max_books:
+    while url and url not in seen and len(found) < max_books and url in known:
         seen.add(url)
-        row = corpus.where(F.col("url") == url).select("content").first()
-        if row is None or row[0] is None:
-            break
-        found |= dict.fromkeys(listing(row[0], url))
-        url = next_page(row[0], url)
+        found |= dict.fromkeys(known[url]["books"])
+        url = known[url]["next"]
     return [*found][:max_books]
 
 

@@ -29,9 +29,10 @@ def fetch_results(results: DataFrame) -> DataFrame:
 
 def fetch_bodies(requests: DataFrame, results: DataFrame) -> DataFrame:
     """(url, body) of each distinct request: the content, or the empty text on any failure."""
-    got = latest(results)
+    wanted = requests.select("url").distinct()
+    got = latest(results.join(wanted, "url", "left_semi"))  # contents of no request are not aggregated
     body = F.when(success(F.col("error"), F.col("content")), F.col("content")).otherwise(F.lit(""))
-    return requests.select("url").distinct().join(got, "url", "left").select("url", F.coalesce(body, F.lit("")).alias("body"))
+    return wanted.join(got, "url", "left").select("url", F.coalesce(body, F.lit("")).alias("body"))
 
 
 def fetch_and_parse(results: DataFrame, now: Column | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from webloom.functions.columns import falsy, falsy_number, html_escape
+from webloom.functions.jsonx import BAD, clean, decode
 
 
 def flat_record(pages: DataFrame, now: Column) -> DataFrame:
@@ -20,6 +24,31 @@ def flat_record(pages: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def stored_links(pages: DataFrame, key: str = "url", column: str = "links_json") -> DataFrame:
+    """(key, pos, link) of the addresses in a stored links JSON: strings, or an object's ``href`` or ``url``.
+
+    Positions count all elements from 0. A text encoded twice counts as its content; null, empty and invalid texts and
+    other elements give nothing; repeated rows repeat their links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, places, found = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                value = decode(text)
+                for k, x in enumerate(value if isinstance(value, list) else [] if value is BAD else [value]):
+                    if isinstance(x, dict):
+                        x = x["href"] if isinstance(x.get("href"), str) else x.get("url")
+                    if isinstance(x, str):
+                        index.append(i)
+                        places.append(k)
+                        found.append(clean(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=["key", "pos", "link"])
+
+    plain = pages.select(F.col(key).alias("key"), F.col(column).cast("string").alias("j")).where("j is not null")
+    return plain.mapInArrow(run, f"key {pages.schema[key].dataType.simpleString()}, pos int, link string").withColumnRenamed("key", key)
+
+
 def upsert(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row per key by ``order`` (ties: the greatest row). A ranking aggregate combines before the shuffle."""
     rest = [c for c in rows.columns if c != key]

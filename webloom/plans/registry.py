@@ -11,7 +11,7 @@ from webloom.functions.columns import AUTHORITY, bucket_key, content_type, falsy
 from webloom.operators import books, fetch, frontier, html, limiter, records, retry, robots, stats
 from webloom.operators.nested import flatten
 from webloom.plans import fixtures
-from webloom.plans.crawl import crawl
+from webloom.plans.crawl import crawl, ranked
 from webloom.schema import FRONTIER
 from webloom.session import scratch, table
 from webloom.sources import readers, sinks, sitemap
@@ -556,6 +556,24 @@ def crawl_page_cap(s, d):
     return crawl(s, SEEDS, fixtures.site(s), 4, 3).select("url", "depth")
 
 
+STORED = """
+SELECT DISTINCT url, CASE json_type(e) WHEN 'VARCHAR' THEN e ->> '$' WHEN 'OBJECT' THEN CASE WHEN json_type(e, '$.href') = 'VARCHAR' THEN e ->> '$.href' WHEN json_type(e, '$.url') = 'VARCHAR' THEN e ->> '$.url' END END AS link FROM (
+SELECT url, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) WHEN json_type(j) = 'OBJECT' THEN [j] END) AS e FROM (
+SELECT url, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM (SELECT url, CASE WHEN json_valid(links_json) THEN links_json::JSON END AS j FROM pages)))"""
+
+
+@query(
+    "crawl_pages",
+    f"WITH RECURSIVE e AS ({STORED}), reach(url, depth) AS (SELECT DISTINCT url, 0 FROM frontier WHERE depth = 0 UNION SELECT e.link, depth + 1 FROM reach JOIN e USING (url) WHERE depth < 2 AND link IS NOT NULL) SELECT url, min(depth) AS depth, url IN (SELECT url FROM pages) AS ok FROM reach GROUP BY 1",
+)
+def crawl_pages(s, d):
+    """The link graph of the stored pages, two hops from the frontier's start urls, without a page cap."""
+    pages = table(s, d, "pages")
+    corpus = pages.select("url", F.lit(200).alias("status"), F.lit("<p>p</p>").alias("content"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("elapsed"))
+    seeds = ranked(table(s, d, "frontier").where("depth = 0").select("url").distinct(), ["url"])
+    return crawl(s, seeds, corpus, 1 << 40, 2, False, links=records.stored_links(pages)).select("url", "depth", "ok")
+
+
 @query("sitemap_pages", "SELECT * FROM (VALUES (1, 'https://s.test/1'), (2, 'https://s.test/2'), (3, 'https://s.test/3')) t(place, url)")
 def sitemap_pages(s, d):
     corpus = s.createDataFrame(fixtures.SITEMAPS, "url string, status int, content string")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from webloom.operators.fetch import latest
 from webloom.session import checkpoint
 
 PARSED = "kind string, locs array<string>"
@@ -36,15 +37,17 @@ def sitemap(xml: Column) -> Column:
 def sitemap_urls(spark: SparkSession, starts: Iterable[str], corpus: DataFrame) -> DataFrame:
     """(url, path): page urls of sitemaps in document order, indexes followed depth-first, each sitemap read once.
 
-    ``corpus`` has url, status, content; other statuses than 200 and malformed files give nothing. ``path`` is the
+    ``corpus`` has url, status, content; other statuses than 200 and malformed files give nothing; of several contents
+    of a url the greatest counts. ``path`` is the
     array of positions that orders the urls. The loop is over index levels.
     """
     level = spark.createDataFrame([(u, [i]) for i, u in enumerate(starts)], "url string, path array<int>")
-    files = corpus.where("status = 200").select("url", "content").dropDuplicates(["url"])
+    files = corpus.where("status = 200").select("url", "content")
     seen = level.select("url")
     out = spark.createDataFrame([], "url string, path array<int>")
     while True:
-        read = checkpoint(level.join(files, "url").select("url", "path", sitemap(F.col("content")).alias("s")).select("path", "s.kind", F.posexplode("s.locs").alias("pos", "loc")))
+        own = latest(files.join(level.select("url"), "url", "left_semi"), "url", ("content",))
+        read = checkpoint(level.join(own, "url").select("url", "path", sitemap(F.col("content")).alias("s")).select("path", "s.kind", F.posexplode("s.locs").alias("pos", "loc")))
         pages = read.where("kind = 'urlset'").select(F.col("loc").alias("url"), F.concat("path", F.array("pos")).alias("path"))
         out = out.union(pages)
         nested = read.where("kind = 'sitemapindex'").groupBy(F.col("loc").alias("url")).agg(F.min(F.concat("path", F.array("pos"))).alias("path"))
