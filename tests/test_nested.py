@@ -3,7 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from webloom.functions.jsonx import BAD, decode
+from webloom.functions.jsonx import BAD, decode, loads_deep
 from webloom.operators.nested import COLLECTIONS, flatten, inside, label, node_table
 
 SOURCES = {"m": None, "l": "links"}
@@ -94,3 +94,26 @@ def test_tables_link(spark):
     nodes = flatten(spark.createDataFrame([(1, '{"lists": [{"items": [{"t": 1}, {"t": 2}]}], "images": [{}]}', None)], "id bigint, m string, l string"), "id", SOURCES)
     pairs = inside(node_table(nodes, "items"), node_table(nodes, "lists"), "id").collect()
     assert sorted((r["outer_path"], r["inner_path"]) for r in pairs) == [("lists[0]", "lists[0].items[0]"), ("lists[0]", "lists[0].items[1]")]
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=20), st.sampled_from([None, 1]))
+def test_deep_reader_reads_as_json(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert loads_deep(text) == json.loads(text)
+    for cut in (text[:-1], text + "]", text.replace(":", ",", 1)):
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            want = BAD
+        try:
+            got = loads_deep(cut)
+        except (ValueError, IndexError):
+            got = BAD
+        assert got == want
+
+
+def test_deep_nesting():
+    deep = '{"x":[' * 30_000 + '{"images":[{"a":1},null,{"variants":{"b":2}}]}' + "]}" * 30_000
+    nodes = label([(decode(deep), None)], NAMES, True)
+    assert [n[0] for n in nodes] == ["images", "images", "variants"] and nodes[2][2] == nodes[1][1] and nodes[1][2] == "$"
+    assert decode(deep[:-1]) is BAD and decode("[" * 50_000) is BAD

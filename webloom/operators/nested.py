@@ -1,8 +1,8 @@
 """Nested JSON records to flat node tables by interval labels.
 
 Every record is one tree. A depth-first walk gives each node its pre-order and post-order number; a node lies in
-another exactly if its interval (pre, post) is inside the other's. The tables per node type are linked by those
-intervals (and, because the walk knows it, by the nearest enclosing node).
+another exactly if its interval (pre, post) is inside the other's. Parents and levels are read from those intervals, and
+the tables per node type are linked by them.
 """
 
 from __future__ import annotations
@@ -27,30 +27,30 @@ def label(trees: Iterable[tuple[Any, str | None]], collections: frozenset[str],
     """Nodes of one record in pre-order, as lists in the order of ``NODE_COLUMNS``.
 
     ``trees`` holds (decoded value, name): with a name, the value is itself a collection of that name, whose strings
-    are nodes as well. The root ``$`` has pre-order number 0. The walk keeps its own stack, so depth is no limit.
+    are nodes as well. The root ``$`` has pre-order number 0. The walk keeps its own stack, so depth is no limit; it
+    knows paths and hands out numbers, and no node's parent: that follows from containment (``enclosed``).
     """
     out: list[list] = []
     clock = 1
     for value, name in trees:
         if value is BAD:
             continue
-        # an entry: (value, path, kind or None, position, index of the enclosing node in out, level); an int closes a node
-        stack: list = [(value, "", None, 0, -1, 0)] if name is None else _elements(value, name, name, True, -1, 0)
+        # an entry: (value, path, kind or None, position); an int closes the node at that place in out
+        stack: list = [(value, "", None, 0)] if name is None else _elements(value, name, name, True)
         while stack:
             entry = stack.pop()
             if type(entry) is int:
                 out[entry][6] = clock
                 clock += 1
                 continue
-            value, path, kind, pos, parent, level = entry
+            value, path, kind, pos = entry
             if kind is not None:
-                node = [kind, path, out[parent][1] if parent >= 0 else "$", pos, level, clock, 0, out[parent][5] if parent >= 0 else 0, None]
+                node = [kind, path, "$", pos, 0, clock, 0, 0, None]
                 if fields:
                     plain = {k: v for k, v in value.items() if not isinstance(v, (dict, list))} if isinstance(value, dict) else {"value": value}
                     node[8] = clean(json.dumps(plain, ensure_ascii=False))
                 clock += 1
-                parent, level = len(out), level + 1
-                stack.append(parent)
+                stack.append(len(out))
                 out.append(node)
             if type(value) is dict:
                 children: list = []
@@ -58,23 +58,36 @@ def label(trees: Iterable[tuple[Any, str | None]], collections: frozenset[str],
                     if type(v) is dict or type(v) is list:
                         p = f"{path}.{k}" if path else k
                         if k in collections:
-                            children.extend(reversed(_elements(v, p, k, False, parent, level)))
+                            children.extend(reversed(_elements(v, p, k, False)))
                         else:
-                            children.append((v, p, None, 0, parent, level))
+                            children.append((v, p, None, 0))
                 stack.extend(reversed(children))
             elif type(value) is list:
-                stack.extend((v, f"{path}[{i}]", None, i, parent, level) for i, v in reversed([*enumerate(value)]) if type(v) is dict or type(v) is list)
+                stack.extend((v, f"{path}[{i}]", None, i) for i, v in reversed([*enumerate(value)]) if type(v) is dict or type(v) is list)
+    enclosed(out)
     return out
 
 
-def _elements(value: Any, path: str, kind: str, strings: bool, parent: int, level: int) -> list:
+def enclosed(nodes: list[list]) -> None:
+    """Set parent_path, level and parent_pre of nodes in pre-order: the parent is the last interval that is still open."""
+    opened: list[list] = []
+    for node in nodes:
+        while opened and opened[-1][6] < node[5]:
+            opened.pop()
+        node[4] = len(opened)
+        if opened:
+            node[2], node[7] = opened[-1][1], opened[-1][5]
+        opened.append(node)
+
+
+def _elements(value: Any, path: str, kind: str, strings: bool) -> list:
     """Stack entries of a collection's elements, last first; a lone object is a collection of one."""
     entries = []
     for i, v in enumerate(value if type(value) is list else [value]):
         if type(v) is dict or strings and type(v) is str:
-            entries.append((v, f"{path}[{i}]", kind, i, parent, level))
+            entries.append((v, f"{path}[{i}]", kind, i))
         elif type(v) is list:
-            entries.append((v, f"{path}[{i}]", None, i, parent, level))
+            entries.append((v, f"{path}[{i}]", None, i))
     return entries[::-1]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.columns import AUTHORITY, bucket_key, content_type, falsy, falsy_number, http_status, is_valid_url, kilobytes, netloc, origin, path_tail, shorten
 from webloom.operators import books, fetch, frontier, html, limiter, records, retry, robots, stats
-from webloom.operators.nested import flatten
+from webloom.operators.nested import COLLECTIONS, flatten, node_table
 from webloom.plans import fixtures
 from webloom.plans.crawl import crawl, ranked
 from webloom.schema import FRONTIER
@@ -41,11 +41,38 @@ def p6_nodes(s, d):
     return flatten(table(s, d, "pages"), "id", {"metadata_json": None, "links_json": "links"})
 
 
-@query("p6_found")
+#: The walk as a recursion over JSON values: a value is plain, a collection, or a node.
+NODES = f"""
+WITH RECURSIVE texts AS (SELECT id, name, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM (SELECT id, '' AS name, metadata_json AS t FROM pages UNION ALL SELECT id, 'links', links_json FROM pages)),
+decoded AS (SELECT id, name, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM texts),
+walk(id, path, parent, value, state) AS (
+SELECT id, name, '$', j, CASE WHEN name = '' THEN 'plain' ELSE 'collection' END FROM decoded WHERE json_type(j) IN ('OBJECT', 'ARRAY')
+UNION ALL
+SELECT w.id,
+ CASE WHEN w.state = 'collection' AND json_type(w.value) = 'OBJECT' THEN w.path || '[0]' WHEN json_type(w.value) = 'ARRAY' THEN w.path || '[' || e.key || ']' WHEN w.path = '' THEN e.key ELSE w.path || '.' || e.key END,
+ CASE WHEN w.state = 'node' THEN w.path ELSE w.parent END,
+ CASE WHEN w.state = 'collection' AND json_type(w.value) = 'OBJECT' THEN w.value ELSE e.value END,
+ CASE WHEN w.state = 'collection' THEN CASE WHEN json_type(w.value) = 'OBJECT' OR json_type(e.value) = 'OBJECT' OR json_type(e.value) = 'VARCHAR' THEN 'node' ELSE 'plain' END
+      WHEN json_type(w.value) = 'OBJECT' AND e.key IN {COLLECTIONS} THEN 'collection' ELSE 'plain' END
+FROM walk w, LATERAL (SELECT unnest(CASE WHEN w.state = 'collection' AND json_type(w.value) = 'OBJECT' THEN [{{'key': '0', 'value': w.value}}]
+  WHEN json_type(w.value) = 'OBJECT' THEN list_transform(json_keys(w.value), lambda k: {{'key': k, 'value': w.value -> ('$."' || k || '"')}})
+  WHEN json_type(w.value) = 'ARRAY' THEN list_transform(range(json_array_length(w.value)::BIGINT), lambda i: {{'key': i::VARCHAR, 'value': w.value -> ('$[' || i || ']')}}) END) AS e)
+WHERE (json_type(e.value) IN ('OBJECT', 'ARRAY') OR w.state = 'collection' AND w.path = 'links' AND w.parent = '$' AND json_type(e.value) = 'VARCHAR'))
+SELECT id, parent AS parent_path, path AS node_path FROM walk WHERE state = 'node'
+"""
+
+
+@query("p6_found", NODES)
 def p6_found(s, d):
     return flatten(table(s, d, "pages"), "id", {"metadata_json": None, "links_json": "links"}, fields=False).select("id", "parent_path", "node_path")
 
 
+@query("p6_images")
+def p6_images(s, d):
+    """The flat table of one node type, with the intervals that link it to the others."""
+    return node_table(flatten(table(s, d, "pages"), "id", {"metadata_json": None, "links_json": "links"}), "images")
+
+
 # url functions
 
 
