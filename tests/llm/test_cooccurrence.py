@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from webloom.llm import cooccurrence as C
 
@@ -48,3 +49,24 @@ def test_llr(spark):
 def test_combine():
     a, b, n = C._combine(np.array([2, 1, 2]), np.array([1, 5, 1]), np.array([1, 1, 4]))
     assert (a.tolist(), b.tolist(), n.tolist()) == ([1, 2], [5, 1], [1, 5])
+
+
+def test_long_row(spark, monkeypatch):
+    """A row of many items is cut up, and the pairs are the same."""
+    rows = [(json.dumps([f"u{i}" for i in range(60)]),)] * 5 + [(json.dumps(["u1", "u2"]),)] * 2
+    df = spark.createDataFrame(rows, "j string")
+    want = {(a, b): 5 + 2 * ((a, b) == ("u1", "u2")) for a in (f"u{i}" for i in range(60)) for b in (f"u{i}" for i in range(60)) if a < b}
+    parts = [(pa.RecordBatch.from_arrays([pa.array([list(range(60)), [1, 2], [7]], pa.list_(pa.int64()))], names=["ids"]))]
+    whole = {}
+    for flush in (C.FLUSH, 100):
+        monkeypatch.setattr(C, "FLUSH", flush)
+        counts = {}
+        for batch in C._stripes(iter(parts)):
+            for a, near, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for b, k in zip(near, n):
+                    counts[a, b] = counts.get((a, b), 0) + k
+        assert not whole or counts == whole
+        whole = counts
+    assert len(whole) == 60 * 59 // 2 and whole[1, 2] == 2
+    got = {(r["item_a"], r["item_b"]): r["n_ab"] for r in C.cooccurrences(df, "j").collect()}
+    assert got == want

@@ -82,8 +82,19 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, offsets = np.asarray(column.values), np.asarray(column.offsets).astype(np.int64)
         lengths = np.diff(offsets)
         for k in np.unique(lengths[lengths > 1]):  # rows of one length at a time: their pairs are two gathers
+            starts = offsets[:-1][lengths == k]
+            if k * (k - 1) // 2 > FLUSH:  # a long row on its own, an item at a time
+                for start in starts:
+                    row = values[start : start + k]
+                    for i in range(k - 1):
+                        held.append((np.full(k - i - 1, row[i]), row[i + 1 :]))
+                        size += k - i - 1
+                        if size >= FLUSH:
+                            yield flush()
+                            size = 0
+                continue
             i, j = np.triu_indices(k, 1)
-            rows = values[offsets[:-1][lengths == k][:, None] + np.arange(k)]
+            rows = values[starts[:, None] + np.arange(k)]
             step = max(1, FLUSH // len(i))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -140,7 +151,7 @@ def cooccurrences(df: DataFrame, column: str, min_count: int = 5, min_llr: float
     """
     counts = item_rows(df, column).select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     words = checkpoint(counts.where((F.col("n") >= min_count) | F.col("item").isNull()).select("item", "n", F.monotonically_increasing_id().alias("id")))
-    total, size = words.agg(F.max(F.when(F.col("item").isNull(), F.col("n"))), F.sum(F.length("item") + 24)).first()
+    total, size = words.agg(F.max(F.when(F.col("item").isNull(), F.col("n"))), F.sum(F.octet_length("item") + 24)).first()
     words = words.where("item is not null")
     small = (size or 0) <= BROADCAST_BYTES
     one = F.broadcast(words) if small else words

@@ -37,13 +37,19 @@ def _p4_figures(spark: SparkSession, d: str) -> DataFrame:
     return scored(figured).select("id", "lang", "kind", "residue", *(f"{f}{x}" for f in FIGURES for x in ("", "_z", "_pct")))
 
 
+#: G² from which on a pair is no chance (one in a thousand).
+SIGNIFICANT = 10.83
+
+
 def _p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrences(table(spark, d, "pages"), "links_json")
+    """Pairs in five rows or more that are significant, oftener together than by chance or less often."""
+    pairs = cooccurrences(table(spark, d, "pages"), "links_json", min_llr=SIGNIFICANT)
+    return pairs.withColumn("lift", F.round("lift", 6)).withColumn("llr", F.round("llr", 3))
 
 
 def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     lifted = F.col("n_ab") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")
-    return _p3_pairs(spark, d).where(lifted).select(F.col("item_a").alias("link_a"), F.col("item_b").alias("link_b"))
+    return cooccurrences(table(spark, d, "pages"), "links_json").where(lifted).select(F.col("item_a").alias("link_a"), F.col("item_b").alias("link_b"))
 
 
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +89,12 @@ counts AS (SELECT item, count(*) AS n FROM own GROUP BY item HAVING count(*) >=
 known AS (SELECT id, item, n FROM own JOIN counts USING (item)),
 pairs AS (SELECT a.item AS link_a, b.item AS link_b, count(*) AS n_ab, any_value(a.n) AS n_a, any_value(b.n) AS n_b FROM known a JOIN known b ON a.id = b.id AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5)
 """
+RATIO = """
+, total AS (SELECT count(DISTINCT id) AS n FROM own),
+cells AS (SELECT *, [n_ab, n_a - n_ab, n_b - n_ab, n - n_a - n_b + n_ab] AS inner_cells, [n_a, n - n_a, n_b, n - n_b] AS sides FROM pairs, total),
+scored AS (SELECT *, 2 * (list_sum([CASE WHEN x > 0 THEN x * ln(x) ELSE 0.0 END FOR x IN inner_cells]) - list_sum([CASE WHEN x > 0 THEN x * ln(x) ELSE 0.0 END FOR x IN sides]) + n * ln(n)) AS g FROM cells)
+SELECT link_a AS item_a, link_b AS item_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift, round(g, 3) AS llr FROM scored WHERE g >= 10.83
+"""
 WINDOWS = r"""
 SELECT {key}, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (
 SELECT {key}, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g'))), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)
@@ -92,5 +104,6 @@ SELECT {key}, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{{
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": ADDRESSES + "SELECT link_a, link_b FROM pairs WHERE n_ab * (SELECT count(DISTINCT id) FROM own) >= 5 * n_a * n_b",
+        "p3_pairs": ADDRESSES + RATIO,
         "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({WINDOWS.format(key='doc_id', table='documents')}) d JOIN ({WINDOWS.format(key='item_id', table='benchmark')}) b USING (run)",
     }
