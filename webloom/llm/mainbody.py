@@ -115,10 +115,11 @@ JUMP = regex.compile(rf"(?:{JUMPS})", regex.I)
 #: A sentence, and after its end nothing but controls.
 CONTROLLED = regex.compile(rf".*[.!?。！？:：…] *(?:(?:{CONTROLS})(?: (?:all|cookies|and close|& close|todo|tout|alle|все|全部))?[ /|,·&-]*)+[.!]?", regex.I)
 ITEM_SEPARATOR = re.compile(r" *[|·•»›>] *| +/ +")
+ITEM_MARK = re.compile("[|·•»›>]| /")
 ITEM = regex.compile(r"[\p{L}&' -]{2,30}")
 SENTENCE_END = regex.compile(r"[.!?。！？…][”»’\")]*$")
-#: Words of a call; more are a text. No jump link's pattern is as long as this. The mark of asking stems.
-CALL_WORDS, JUMP_LENGTH, ASKED = 14, 64, -1
+#: Words of a call; more are a text. The marks of asking stems and of jump links among the hits.
+CALL_WORDS, ASKED, JUMPED = 14, -1, -2
 NUMBERED = re.compile(r"\d\.$")
 HOST = re.compile(r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 #: A line is repeated if it stands beside this many different contents of its host, and this share of them.
@@ -161,6 +162,8 @@ def _automaton() -> ahocorasick.Automaton:
     for p in regex.split(r"\|(?![^(]*\))", ASKS):
         for w in _needles(p):
             words.setdefault(w, []).append(ASKED)
+    for w in _needles(JUMPS):
+        words.setdefault(w, []).append(JUMPED)
     out = ahocorasick.Automaton()
     for w, which in words.items():
         out.add_word(w, which)
@@ -171,16 +174,19 @@ def _automaton() -> ahocorasick.Automaton:
 @lru_cache(maxsize=1 << 14)
 def _hits(text: str) -> frozenset[int]:
     """The patterns that a text can match at all."""
-    return frozenset(i for _, hits in _automaton().iter(text.lower()) for i in hits)
+    found: set[int] = set()
+    for _, hits in _automaton().iter(text.lower()):
+        found.update(hits)
+    return frozenset(found)
 
 
 def phrases(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the furniture phrases of a text, leftmost and longest first, without overlap."""
-    which = _hits(text) - {ASKED}
+    which = _hits(text)
     if not which:
         return
     end = 0
-    for start, stop in sorted((m.span() for i in which for m in PATTERNS[i].finditer(text)), key=lambda x: (x[0], -x[1])):
+    for start, stop in sorted((m.span() for i in which if i >= 0 for m in PATTERNS[i].finditer(text)), key=lambda x: (x[0], -x[1])):
         if start >= end:
             yield start, stop
             end = stop
@@ -192,15 +198,20 @@ def _cells(line: str) -> int:
 
 def items(line: str) -> int:
     """The number of short items without figures that a line lists between separators, else 0."""
-    parts = [x for x in ITEM_SEPARATOR.split(line) if x] if ITEM_SEPARATOR.search(line) else []
+    if not ITEM_MARK.search(line):
+        return 0
+    parts = [x for x in ITEM_SEPARATOR.split(line) if x]
     return len(parts) if len(parts) >= 3 and all(ITEM.fullmatch(x) and x.count(" ") < 4 for x in parts) else 0
 
 
 def structural(line: str) -> bool:
     """Whether a line is a call or a notice with controls by its make, whatever site it stands on."""
-    if len(line) < JUMP_LENGTH and JUMP.fullmatch(line):
+    hits = _hits(line)
+    if not hits:
+        return False
+    if JUMPED in hits and JUMP.fullmatch(line):
         return True
-    if ASKED not in _hits(line) or not ASKING.search(line):
+    if ASKED not in hits or not ASKING.search(line):
         return False
     return not SENTENCE_END.search(line) and line.count(" ") < CALL_WORDS or bool(CONTROLLED.fullmatch(line))
 
@@ -210,9 +221,9 @@ def link_chars(line: str) -> tuple[int, int]:
     """(characters, pieces) of a stripped line that are page furniture by its wording."""
     if MENU_LINE.fullmatch(line):
         return len(line), 1 + sum(line.count(c) for c in "|·/»> ")
-    if HEADING.fullmatch(line) or TEASER.fullmatch(line):
+    if HEADING.fullmatch(line) or (":" in line or "：" in line) and TEASER.fullmatch(line):
         return len(line), 1
-    if CRUMB.fullmatch(line):
+    if (">" in line or "»" in line or "/" in line) and CRUMB.fullmatch(line):
         return len(line), 2 + sum(line.count(c) for c in "/»>")
     chars = pieces = 0
     rest = []
@@ -236,10 +247,14 @@ def density(chars: float, tags: float, links: float, link_tags: float, page_char
     """Composite text density of a node; zero counts of links, plain characters and tags count as one."""
     if chars <= 0:
         return 0.0
-    plain = max(1.0, chars - links)
-    base = math.log(math.log(chars / plain * links + page_links / max(1.0, page_chars) * chars + math.e))
-    ratio = chars / max(1.0, links) * max(1.0, tags) / max(1.0, link_tags)
-    return chars / max(1.0, tags) * math.log(max(1.0, ratio)) / max(base, 0.05)
+    base = page_links / (page_chars if page_chars > 1.0 else 1.0) * chars + math.e
+    if links:
+        plain = chars - links
+        base += chars / (plain if plain > 1.0 else 1.0) * links
+    ratio = chars / (links if links > 1.0 else 1.0) * (tags if tags > 1.0 else 1.0) / (link_tags if link_tags > 1.0 else 1.0)
+    if ratio <= 1.0:
+        return 0.0
+    return chars / (tags if tags > 1.0 else 1.0) * math.log(ratio) / max(math.log(math.log(base)), 0.05)
 
 
 def _same(a: str, b: str) -> bool:
@@ -293,14 +308,21 @@ def furniture(lines: list[str], title: str | None = None, own: bool = True, repe
                 blocks[-1].append(i)
             else:
                 blocks.append([i])
-    sums = [sum(density(weight[i], tags[i], links[i], tags[i] if links[i] else 0.0, page_chars, page_links) for i in at) for at in blocks]
+    sums, own = [], []
+    for at in blocks:
+        total = w = t = l = lt = 0.0
+        for i in at:
+            linked = tags[i] if links[i] else 0.0
+            total += density(weight[i], tags[i], links[i], linked, page_chars, page_links)
+            w, t, l, lt = w + weight[i], t + tags[i], l + links[i], lt + linked
+        sums.append(total)
+        own.append(density(w, t, l, lt, page_chars, page_links))
     body = max(range(len(blocks)), key=sums.__getitem__, default=0)
     out = [False] * n
     for k, at in enumerate(blocks):
-        own = density(sum(weight[i] for i in at), sum(tags[i] for i in at), sum(links[i] for i in at), sum(tags[i] for i in at if links[i]), page_chars, page_links)
-        kept = own >= threshold and own > 0 or k == body and sums[k] > 0
-        for i in at:
-            out[i] = not kept and not _same(stripped[i], title)
+        if not (own[k] >= threshold and own[k] > 0 or k == body and sums[k] > 0):
+            for i in at:
+                out[i] = not _same(stripped[i], title)
     if all(o for o, x in zip(out, stripped) if x):  # nothing else: a notice about scripts is then the message itself
         out = [o and i not in by_count and not NOTICE.fullmatch(x) for i, (o, x) in enumerate(zip(out, stripped))]
     return out
