@@ -18,8 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.mainbody import main_content
-from webloom.llm.residue import Residue, fit, units, unwrapped, without_headline
+from webloom.llm.residue import Residue, bodies, fitted, units, unwrapped, without_headline
 from webloom.session import checkpoint
 
 # Common words of each language.
@@ -223,9 +222,14 @@ def statistics(df: DataFrame, key: str, text: str, title: str, text_length: str,
 
     ``kind`` is the shape of the non-running part where less than half the words run, else null; ``residue`` tells, of
     those rows alone, that the page is template residue, filler or an error page by ``model``. Null, empty and blank texts give no row; null
-    counts are taken as agreeing. Repeated rows repeat; other columns are not read.
+    counts are taken as agreeing. Repeated rows repeat; other columns are not read. Without a model, main bodies are
+    stored and the models fitted on all of them.
     """
-    model = fit(df, key, text, title, status) if model is None else model
+    more = {"n": F.col(text_length).cast("int"), "k": F.col(links_count).cast("int"), "stored": F.length(F.col(text).cast("string"))}
+    main = bodies(df, key, text, title, status, more)
+    if model is None:
+        main = checkpoint(main)
+        model = fitted(main, None if status is None else main.where("failed"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,17 +237,14 @@ def statistics(df: DataFrame, key: str, text: str, title: str, text_length: str,
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 index, rows = [], []
-                for i, (t, h, n, k) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 5)))):
-                    if not t or t.isspace():
-                        continue
-                    lines = main_content(t, h)
-                    row = figures(lines, h, n, k, len(t))
+                for i, (h, n, k, stored, lines) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 6)))):
+                    row = figures(lines, h, n, k, stored)
                     rows.append(row | {"residue": any(shared.value.kinds(lines, h)) if row["kind"] else None})
                     index.append(i)
                 columns = [pa.array([r[c] for r in rows], kind) for c, kind in (("lang", pa.string()), ("kind", pa.string()), ("residue", pa.bool_()), *((f, pa.float64()) for f in FIGURES))]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index, pa.int64())), *columns], names=["key", "lang", "kind", "residue", *FIGURES])
 
-    plain = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"), F.col(title).cast("string").alias("h"), F.col(text_length).cast("int").alias("n"), F.col(links_count).cast("int").alias("k")).where("t is not null")
+    plain = main.select("key", "title", "n", "k", "stored", "lines")
     return plain.mapInArrow(run, SCHEMA.format(df.schema[key].dataType.simpleString())).withColumnRenamed("key", key)
 
 
